@@ -8,11 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sparrowql.llm.bpe import bpe_digests
+from sparrowql.llm import quality, urls
 from sparrowql.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *quality.COUNTS, "failed_rules", "kept")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(
         table(spark, sf_dir, "documents"),
@@ -21,9 +27,18 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame([(host,) for host in urls.LISTED], "url string")
+    return urls.judged_pages(table(spark, sf_dir, "pages"), listed)
+
+
 def queries() -> dict[str, Query]:
-    return {"op8_byte_bpe": op8_byte_bpe}
+    return {
+        "op7_quality_rules": op7_quality_rules,
+        "op8_byte_bpe": op8_byte_bpe,
+        "op10_url_filter": op10_url_filter,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_url_filter": urls.ORACLE_SQL}

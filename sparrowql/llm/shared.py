@@ -82,5 +82,5 @@ def with_fields(schema: T.StructType, **kinds: str) -> T.StructType:
     """A new schema with further nullable fields."""
     out = T.StructType(list(schema.fields))
     for name, kind in kinds.items():
-        out = out.add(name, kind)
+        out = out.add(name, T.DataType.fromDDL(kind))
     return out
