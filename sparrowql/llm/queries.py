@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparrowql.llm.bpe import bpe_digests
-from sparrowql.llm import quality, urls
+from sparrowql.llm import packing, quality, urls
 from sparrowql.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.shard(table(spark, sf_dir, "documents"), 8)
+    return out.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *quality.COUNTS, "failed_rules", "kept")
@@ -34,6 +42,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op4_sharding": op4_sharding,
         "op7_quality_rules": op7_quality_rules,
         "op8_byte_bpe": op8_byte_bpe,
         "op10_url_filter": op10_url_filter,
