@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparrowql.llm.bpe import bpe_digests
-from sparrowql.llm import packing, quality, secrets, simhash, urls
+from sparrowql.llm import decontamination, packing, quality, secrets, simhash, urls
 from sparrowql.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.shard(table(spark, sf_dir, "documents"), 8)
     return out.select(
@@ -52,6 +56,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_decontamination": op2_decontamination,
         "op4_sharding": op4_sharding,
         "op5_simhash": op5_simhash,
         "op6_secret_scan": op6_secret_scan,
