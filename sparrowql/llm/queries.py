@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparrowql.llm.bpe import bpe_digests
-from sparrowql.llm import decontamination, packing, quality, secrets, simhash, urls
+from sparrowql.llm import decontamination, licenses, packing, quality, secrets, simhash, urls
 from sparrowql.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.createDataFrame([(host,) for host in urls.LISTED], "url string")
     return urls.judged_pages(table(spark, sf_dir, "pages"), listed)
@@ -62,6 +66,7 @@ def queries() -> dict[str, Query]:
         "op6_secret_scan": op6_secret_scan,
         "op7_quality_rules": op7_quality_rules,
         "op8_byte_bpe": op8_byte_bpe,
+        "op9_license_scan": op9_license_scan,
         "op10_url_filter": op10_url_filter,
     }
 
