@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparrowql.llm.bpe import bpe_digests
-from sparrowql.llm import decontamination, licenses, packing, quality, secrets, simhash, urls
+from sparrowql.llm import decontamination, language, licenses, packing, quality, secrets, simhash, urls
 from sparrowql.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_id(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.shard(table(spark, sf_dir, "documents"), 8)
     return out.select(
@@ -61,6 +65,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_decontamination": op2_decontamination,
+        "op3_language_id": op3_language_id,
         "op4_sharding": op4_sharding,
         "op5_simhash": op5_simhash,
         "op6_secret_scan": op6_secret_scan,
