@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparrowql.llm.bpe import bpe_digests
-from sparrowql.llm import decontamination, language, licenses, packing, quality, secrets, simhash, urls
+from sparrowql.llm import decontamination, language, licenses, packing, quality, secrets, simhash, substrings, urls
 from sparrowql.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -64,6 +68,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_decontamination": op2_decontamination,
         "op3_language_id": op3_language_id,
         "op4_sharding": op4_sharding,

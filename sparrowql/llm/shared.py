@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -51,6 +52,12 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of DataFrames that are no longer used."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def map_batches(
     df: DataFrame,
     fn: Callable[[pa.RecordBatch], pa.RecordBatch],
