@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from sparrowql.llm.bpe import slices
-from sparrowql.llm.passages import Seeds, Vocabulary, align, fit_distances, gram_hashes, word_spans, words
+from sparrowql.llm.passages import Seeds, Vocabulary, align, fit_distances, gram_hashes, joined, word_spans, words
 from sparrowql.llm.shared import with_fields
 
 #: Share of an item's words that edits may touch.
@@ -72,7 +72,7 @@ def lsh_keys(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     for walk in range(EMBEDDINGS):
         embedded = cgk(x, lengths, walk)
         for r in range(REPEATS):
-            h = lengths.astype(np.uint64) * np.uint64(977) + np.uint64(walk * REPEATS + r)
+            h = (lengths.astype(np.uint64) * np.uint64(977) + np.uint64(walk * REPEATS + r)) * np.uint64(0x9E3779B97F4A7C15)
             for s in range(SAMPLED):
                 # a walk of n words takes 2 * n steps on average
                 symbol = embedded[row, (share[walk, r, s] * 2 * lengths).astype(np.int64)]
@@ -91,6 +91,7 @@ class Items:
         self.names = [i for i, _ in tokens]
         self.vocabulary = Vocabulary([w for _, w in tokens])
         self.codes = [self.vocabulary.encode(w) for _, w in tokens]
+        self.sizes = np.array([len(c) for c in self.codes], np.int64)
         entries: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for p, code in enumerate(self.codes):
             k = max(1, len(code) // (edit_bound(len(code)) + 1))
@@ -100,34 +101,21 @@ class Items:
         self.buckets = np.zeros(0, np.uint64)
         self.bucket_items = np.zeros(0, np.int64)
         if self.codes:
-            lengths = np.array([len(c) for c in self.codes])
-            keys = np.concatenate([lsh_keys(*self._matrix([c], n)) for c, n in zip(self.codes, lengths, strict=True)])
+            keys = np.concatenate([lsh_keys(c[None, :], np.array([len(c)])) for c in self.codes])
             flat, of = keys.ravel(), np.repeat(np.arange(len(self.codes)), keys.shape[1])
             order = np.argsort(flat, kind="stable")
             self.buckets, self.bucket_items = flat[order], of[order]
 
-    @staticmethod
-    def _matrix(rows: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
-        x = np.full((len(rows), width), -1, np.int64)
-        for i, r in enumerate(rows):
-            x[i, : len(r)] = r
-        return x, np.full(len(rows), width)
-
     def find(self, texts: list[str]) -> dict[int, dict[int, tuple[int, int, int]]]:
         """text -> item -> (distance, first word, end word) of the best window."""
-        codes, windows = [], []
-        for d, text in enumerate(texts):
-            code = self.vocabulary.encode(words(text))
-            codes.append(code)
-            for seeds in self.seeds:
-                found = seeds.starts(code)
-                if len(found):
-                    windows.append(np.column_stack([np.full(len(found), d), found]))
+        codes = [self.vocabulary.encode(words(text)) for text in texts]
+        x, ends = joined(codes)
+        windows = [seeds.starts(x, ends) for seeds in self.seeds]
         out: dict[int, dict[int, tuple[int, int, int]]] = defaultdict(dict)
         if not windows:
             return out
         w = np.concatenate(windows)
-        size = np.array([len(c) for c in self.codes])[w[:, 1]]
+        size = self.sizes[w[:, 1]]
         for n in np.unique(size):
             part = w[size == n]
             for k in range(0, len(part), ROWS):
@@ -151,7 +139,8 @@ class Items:
         count = high - low
         entry = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
         row = np.repeat(np.repeat(np.arange(len(x)), keys.shape[1]), count)
-        pairs = np.unique(np.stack([row, self.bucket_items[entry]], axis=1), axis=0)
+        same = self.sizes[self.bucket_items[entry]] == n  # windows have an item's size
+        pairs = np.unique(np.stack([row[same], self.bucket_items[entry[same]]], axis=1), axis=0)
         return np.stack([windows[pairs[:, 0], 0], pairs[:, 1], windows[pairs[:, 0], 2]], axis=1), n
 
     def _verify(self, codes: list[np.ndarray], pairs: np.ndarray, n: int, out: dict) -> None:
@@ -199,8 +188,7 @@ def contaminated(
     out = docs.sparkSession.createDataFrame([], schema)
     for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            items = Items(block)
+        def run(batches: Iterator[pa.RecordBatch], items=Items(block)) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, text_col):
                     texts = [t or "" for t in part.column(text_col).to_pylist()]
@@ -222,8 +210,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_te
     """The input rows that hold no item."""
     for block in _blocks(benchmark, item_text_col, item_text_col, block_bytes):
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            items = Items(block)
+        def run(batches: Iterator[pa.RecordBatch], items=Items(block)) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, text_col):
                     found = items.find([t or "" for t in part.column(text_col).to_pylist()])

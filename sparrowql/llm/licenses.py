@@ -16,6 +16,7 @@ are a bounded parameter (``TEMPLATE_BYTES``).
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sparrowql.llm.bpe import slices
-from sparrowql.llm.passages import Seeds, Vocabulary, align, gram_hashes, word_spans, words
+from sparrowql.llm.passages import Seeds, Vocabulary, align, gram_hashes, joined, word_spans, words
 from sparrowql.llm.shared import with_fields
 
 GRAM, WINDOW = 3, 4
@@ -76,6 +77,10 @@ TEMPLATES: dict[str, str] = {
 }
 
 
+#: (template, coverage, start, end, matched spans) in code points; a text's matches are sorted by start.
+Match = tuple[str, float, int, int, list[tuple[int, int]]]
+
+
 def winnow(hashes: np.ndarray, window: int) -> list[int]:
     """Places of the least hash of each window of hashes (the last of equals)."""
     if not len(hashes):
@@ -97,12 +102,21 @@ class Templates:
             entries.setdefault(k, []).extend((int(hashes[at]), p, at) for at in winnow(hashes, WINDOW))
         self.index = [Seeds(e, k) for k, e in sorted(entries.items())]
 
-    def find(self, text: str) -> list[tuple[str, float, int, int, list[tuple[int, int]]]]:
-        """(template, coverage, start, end, matched spans) in code points, by start."""
-        code = self.vocabulary.encode(words(text))
-        places = [x for index in self.index for x in index.starts(code).tolist()]
-        if not places:
-            return []
+    def find(self, text: str) -> list[Match]:
+        """The matches of one text."""
+        return self.find_all([text])[0]
+
+    def find_all(self, texts: list[str]) -> list[list[Match]]:
+        """The matches of each text."""
+        codes = [self.vocabulary.encode(words(text)) for text in texts]
+        x, ends = joined(codes)
+        places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for index in self.index:
+            for text, p, start in index.starts(x, ends).tolist():
+                places[text].append((p, start))
+        return [self._matches(texts[k], codes[k], places[k]) if k in places else [] for k in range(len(texts))]
+
+    def _matches(self, text: str, code: np.ndarray, places: list[tuple[int, int]]) -> list[Match]:
         spans, found = word_spans(text), []
         for p in sorted({p for p, _ in places}):
             item, n = self.codes[p].tolist(), len(self.codes[p])
@@ -138,7 +152,8 @@ def license_scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_c
         known = Templates(templates)
         for batch in batches:
             for part in slices(batch, text_col):
-                rows = [(d, *x) for d, t in enumerate(part.column(text_col).to_pylist()) for x in known.find(t or "")]
+                texts = [t or "" for t in part.column(text_col).to_pylist()]
+                rows = [(d, *x) for d, matches in enumerate(known.find_all(texts)) for x in matches]
                 if not rows:
                     continue
                 columns = [part.column(id_col).take(pa.array([r[0] for r in rows], pa.int64()))]

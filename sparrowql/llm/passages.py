@@ -64,23 +64,40 @@ class Seeds:
         self.passage = np.array([e[1] for e in entries], np.int64)
         self.offset = np.array([e[2] for e in entries], np.int64)
 
-    def starts(self, x: np.ndarray) -> np.ndarray:
-        """Distinct (passage, start of the passage in x) that x's grams point to."""
+    def starts(self, x: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Distinct (text, passage, start of the passage in the text) that grams point to.
+
+        ``x``: word numbers of texts, each followed by a 0; ``ends``: where each ends in x.
+        """
+        if len(x) < self.k or not len(self.hashes):
+            return np.zeros((0, 3), np.int64)
         known = x > 0
-        run = known[: len(x) - self.k + 1].copy() if len(x) >= self.k else np.zeros(0, bool)
+        run = known[: len(x) - self.k + 1].copy()
         for i in range(1, self.k):
             run &= known[i : i + len(run)]
         at = np.flatnonzero(run)
-        if not len(at) or not len(self.hashes):
-            return np.zeros((0, 2), np.int64)
-        h = gram_hashes(x, self.k)[at]
-        low, high = np.searchsorted(self.hashes, h), np.searchsorted(self.hashes, h, side="right")
-        some = high > low
-        at, low, high = at[some], low[some], high[some]
-        n = high - low
+        h = np.full(len(at), self.k, np.uint64)
+        v = x.astype(np.uint64)
+        for i in range(self.k):
+            h = (h ^ v[at + i]) * _P
+            h ^= h >> np.uint64(31)
+        low = np.searchsorted(self.hashes, h)
+        some = self.hashes[np.minimum(low, len(self.hashes) - 1)] == h
+        at, low = at[some], low[some]
+        n = np.searchsorted(self.hashes, h[some], side="right") - low
         entry = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-        pairs = np.stack([self.passage[entry], np.repeat(at, n) - self.offset[entry]], axis=1)
-        return np.unique(pairs, axis=0)
+        at = np.repeat(at, n)
+        text = np.searchsorted(ends, at, side="right")
+        begin = np.concatenate([[0], ends + 1])[text]
+        found = np.stack([text, self.passage[entry], at - self.offset[entry] - begin], axis=1)
+        return np.unique(found, axis=0)
+
+
+def joined(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' word numbers, each text followed by a 0, and where each ends."""
+    zero = np.zeros(1, np.int64)
+    ends = np.cumsum([len(c) + 1 for c in codes]) - 1
+    return np.concatenate([part for c in codes for part in (c, zero)]) if codes else zero[:0], ends
 
 
 def fit_distances(items: np.ndarray, slices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
