@@ -266,6 +266,30 @@ def bpe_digests(
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
+def tokenized(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """The input rows with ``token_ids``, ``n_tokens`` and ``round_trip`` (whether the ids decode to the text)."""
+    names = docs.columns
+    added = {unique_name(names, n): k for n, k in (("token_ids", "array<int>"), ("n_tokens", "long"), ("round_trip", "boolean"))}
+    schema = with_fields(docs.schema, **added)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = codec(rank_path, pattern)
+        for batch in batches:
+            for part in slices(batch, text_col):
+                texts = [t or "" for t in part.column(text_col).to_pylist()]
+                ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in coder.encode_texts(texts)]
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                columns = [
+                    *part.columns,
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))),
+                    pa.array(np.diff(ends).astype(np.int64)),
+                    pa.array([coder.decode(x) == t.encode() for x, t in zip(ids, texts, strict=True)]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, [*names, *added])
+
+    return docs.mapInArrow(run, schema)
+
+
 def slices(batch: pa.RecordBatch, text_col: str, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most_bytes`` of text each, and a row at least."""
     sizes = np.array([len(t) if t else 0 for t in batch.column(text_col).to_pylist()], np.int64)
