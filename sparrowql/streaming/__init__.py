@@ -1,0 +1 @@
+"""Nothing: the dialect reads immutable tables, so it has no streams."""
