@@ -159,7 +159,7 @@ def calibrate(
     good = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     n = good.count()
     if n > max_labels:
-        good = good.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int((1 << 30) * max_labels / n))
+        good = good.where(F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 8), 16, 10).cast("long") < int((1 << 32) * max_labels / n))
     good = good.groupBy(F.col(id_col).alias("_label_id")).agg((F.min(label_col) > 0).alias("_good"))
     taken = docs.select(
         F.col(id_col).alias("_id"), F.col(text_col).alias("_body"), F.coalesce(F.col(stratum_col), F.lit("")).alias("_stratum")
@@ -229,3 +229,40 @@ def stage(spark, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pipeline stage: the documents that the rules keep."""
     judged = quality_rules(docs, labels)
     return judged.where(F.col(unique_name(docs.columns, "kept"))).select(*docs.columns)
+
+
+#: The query in DuckDB: counts, calibration and verdicts.
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents
+), w AS (SELECT rn, unnest(list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS word,
+    generate_subscripts(list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''), 1) AS pos FROM d
+), tri AS (SELECT rn, pos, word AS a, lead(word) OVER o AS b, lead(word, 2) OVER o AS c FROM w WINDOW o AS (PARTITION BY rn ORDER BY pos)
+), twice AS (SELECT rn, pos, count(*) OVER (PARTITION BY rn, a, b, c) AS n FROM tri WHERE c IS NOT NULL
+), rep AS (SELECT rn, count(DISTINCT pos + k) AS n_repeat_words FROM twice, range(3) AS r(k) WHERE n > 1 GROUP BY rn
+), nw AS (SELECT rn, count(*) AS n_words FROM w GROUP BY rn
+), ln AS (SELECT rn, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d
+), f AS (
+  SELECT d.rn, doc_id, stratum, coalesce(n_words, 0) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    length(regexp_replace(t, '[^A-Z]', '', 'g')) AS capitals, length(regexp_replace(t, '[^!?]', '', 'g')) AS shouts, len(l) AS n_lines
+  FROM d JOIN ln USING (rn) LEFT JOIN nw USING (rn) LEFT JOIN rep USING (rn)
+), m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, [
+    {{'rule': 'symbols', 'v': n_symbols / greatest(n_words, 1)}}, {{'rule': 'shouts', 'v': shouts / greatest(n_words, 1)}},
+    {{'rule': 'capitals', 'v': capitals / greatest(word_chars, 1)}}, {{'rule': 'dup_lines', 'v': n_dup_lines / greatest(n_lines, 1)}},
+    {{'rule': 'repeats', 'v': n_repeat_words / greatest(n_words, 1)}}, {{'rule': 'long_words', 'v': word_chars / greatest(n_words, 1) / 32}}] AS ms FROM f
+), lab AS (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL AND (
+    (SELECT count(*) FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL) <= {MAX_LABELS}
+    OR ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT < floor(4294967296.0 * {MAX_LABELS} / (SELECT count(*) FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL))) GROUP BY doc_id
+), lv AS (SELECT stratum, good, x.rule AS rule, ceil(least(x.v, 1.0) * {CUTOFFS}) AS level FROM (SELECT stratum, good, unnest(ms) AS x FROM m JOIN lab USING (doc_id) WHERE NOT base_failed)
+), ts AS (SELECT stratum, rule, c AS cutoff, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS n_bad, count(*) FILTER (good AND level > c) AS k,
+    count(*) FILTER (NOT good AND level > c) AS k_bad FROM lv, range({CUTOFFS}) AS r(c) GROUP BY stratum, rule, c
+), ps AS (SELECT *, CASE WHEN k > n * {ALPHA / len(RULES)!r} THEN 1.0 ELSE list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
+    + i * ln({ALPHA / len(RULES)!r}) + (n - i) * ln(1 - {ALPHA / len(RULES)!r})))) END <= {DELTA / len(RULES)!r} / (SELECT greatest(count(DISTINCT stratum), 1) FROM lv) AS passes,
+    k_bad / greatest(n_bad, 1) - {GAIN} * k / greatest(n, 1) AS gain FROM ts
+), best AS (SELECT stratum, rule, arg_max(cutoff, (gain, cutoff)) AS cutoff FROM (
+    SELECT *, coalesce(max(cutoff) FILTER (NOT passes) OVER (PARTITION BY stratum, rule), -1) AS failed FROM ps) WHERE cutoff > failed AND gain > 0 GROUP BY stratum, rule
+), v AS (SELECT rn, string_agg(x.rule, ',' ORDER BY list_position({list(RULES)}, x.rule)) AS failed_rules FROM (SELECT rn, stratum, unnest(ms) AS x FROM m) AS e
+    JOIN best ON x.rule = best.rule AND e.stratum = best.stratum WHERE least(x.v, 1.0) > cutoff / {CUTOFFS}.0 GROUP BY rn)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(failed_rules, '') AS failed_rules,
+  NOT base_failed AND failed_rules IS NULL AS kept FROM m LEFT JOIN v USING (rn)
+"""

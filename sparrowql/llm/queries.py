@@ -46,7 +46,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return judged.select("doc_id", *quality.COUNTS, "failed_rules", "kept")
+    return judged.select("doc_id", *quality.COUNTS, F.array_join("failed_rules", ",").alias("failed_rules"), "kept")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,4 +82,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": urls.ORACLE_SQL}
+    return {
+        "op1_suffix_dedup": substrings.ORACLE_SQL,
+        "op7_quality_rules": quality.ORACLE_SQL,
+        "op10_url_filter": urls.ORACLE_SQL,
+    }

@@ -363,3 +363,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         out = out.union(rows.where("id is null").mapInArrow(whole, schema))
     return out.withColumnRenamed("id", id_col)
+
+
+#: The query in DuckDB, window by window.
+ORACLE_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (SELECT rn, doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT rn, doc_id, h, unnest(range(length(h) // 2 - 49)) AS i FROM d WHERE doc_id IS NOT NULL)
+), least_of AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s
+), hit AS (SELECT rn, i, lag(i) OVER (PARTITION BY rn ORDER BY i) AS p FROM w JOIN least_of USING (s) WHERE m < doc_id
+), grouped AS (SELECT rn, i, sum(CASE WHEN p IS NULL OR i > p + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY rn ORDER BY i) AS g FROM hit
+), span AS (SELECT rn, min(i) AS a, max(i) + 50 AS b FROM grouped GROUP BY rn, g
+), piece AS (SELECT rn, a, b, coalesce(lag(b) OVER (PARTITION BY rn ORDER BY a), 0) AS p FROM span
+), cut AS (SELECT rn, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS e, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS body,
+    string_agg(a || ':' || b, ',' ORDER BY a) AS spans FROM piece JOIN d USING (rn) GROUP BY rn)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN e IS NULL THEN h ELSE body || substr(h, 2 * e + 1) END)) AS kept_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN cut USING (rn)
+"""
