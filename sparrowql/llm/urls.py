@@ -147,7 +147,8 @@ RULES: tuple[Rule, ...] = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-LISTED = ("spam-farm.example.org", "spam-farm.example.net", "spam-farm.example.com", "cheap-pills.example.com", "cheap-pills.example.net", "cheap-pills.example.org")
+UNWANTED = ("spam-farm", "cheap-pills", "casino-win", "adult-x", "ads-track", "free-bets")
+LISTED = tuple(f"{name}.example.{top}" for name in UNWANTED for top in ("com", "net", "org"))
 
 
 def judged_pages(pages: DataFrame, listed: DataFrame) -> DataFrame:
@@ -169,7 +170,7 @@ WITH r AS (
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule,
-    regexp_matches(host, '(^|\\.)(spam-farm|cheap-pills)\\.example\\.(com|net|org)$') AS listed FROM p
+    regexp_matches(host, '(^|\\.)(spam-farm|cheap-pills|casino-win|adult-x|ads-track|free-bets)\\.example\\.(com|net|org)$') AS listed FROM p
 )
 SELECT page_id, host, path, rule, CASE rule WHEN 'www.example.com/en/' THEN 'allow' WHEN 'example.com/en/' THEN 'block'
   WHEN 'net/es/' THEN 'block' WHEN 'net/fr/' THEN 'block' WHEN 'com/' THEN 'allow' ELSE CASE WHEN listed THEN 'block' ELSE 'allow' END END AS verdict FROM j
