@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,9 +40,8 @@ def keep(df: DataFrame, intervals: Mapping[str, tuple[T.DataType, Interval]]) ->
     """Rows whose columns lie in their intervals; a contradiction leaves an empty relation without a scan."""
     if any(i.empty for _, i in intervals.values()):
         return df.where(F.lit(False))
-    for name, (data_type, interval) in intervals.items():
-        df = df.where(within(F.col(name), data_type, interval))
-    return df
+    parts = [within(F.col(name), data_type, interval) for name, (data_type, interval) in intervals.items()]
+    return df.where(reduce(and_, parts)) if parts else df
 
 
 def equi_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:

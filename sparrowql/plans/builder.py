@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparrowql.functions.aggregates import aggregate
 from sparrowql.operators.relational import equi_join, full_range, keep, ordered, take
@@ -32,9 +33,7 @@ def _referenced(query: Query, need_rowids: bool) -> set[Col]:
 
 
 def rowid(side: int) -> Col:
-    from pyspark.sql.types import LongType
-
-    return Col(side, None, LongType())
+    return Col(side, None, T.LongType())
 
 
 def _side(table: Table, side: int, columns: set[Col]) -> DataFrame:
@@ -87,8 +86,7 @@ def build(query: Query, args: Sequence[Value] = (), ordered_groups: bool = True)
             source = equi_join(sides[0], sides[1], f"`{internal(query.join[0])}`", f"`{internal(query.join[1])}`")
     shape = {"rows": _rows, "groups": _groups, "totals": _totals}[query.shape]
     out = shape(query, source, cut or ordered_groups)
-    out = take(out, limit, offset)
-    return out.select(*[F.col(f"`o{k}`").alias(o.name) for k, o in enumerate(query.outputs)])
+    return take(out, limit, offset)
 
 
 def _aggregate(a: Agg):
@@ -98,10 +96,10 @@ def _aggregate(a: Agg):
 def _rows(query: Query, source: DataFrame, _: bool) -> DataFrame:
     keys = [(column(s.expr), s.descending) for s in query.sorts if isinstance(s.expr, Col)]
     ids = [rowid(side) for side in range(len(query.tables))]
-    if all(f"{internal(c)}" in source.columns for c in ids):
+    if all(internal(c) in source.columns for c in ids):
         keys += [(column(c), False) for c in ids]
         source = source.orderBy(*ordered(keys))
-    return source.select(*[column(o.expr).alias(f"o{k}") for k, o in enumerate(query.outputs)])  # type: ignore[arg-type]
+    return source.select(*[column(o.expr).alias(o.name) for o in query.outputs])  # type: ignore[arg-type]
 
 
 def _groups(query: Query, source: DataFrame, sort: bool) -> DataFrame:
@@ -113,8 +111,8 @@ def _groups(query: Query, source: DataFrame, sort: bool) -> DataFrame:
     of = lambda e: F.col(names[e] if isinstance(e, Agg) else "key")
     if sort or query.sorts:
         out = out.orderBy(*ordered([*[(of(s.expr), s.descending) for s in query.sorts], (F.col("key"), False)]))
-    return out.select(*[of(o.expr).alias(f"o{k}") for k, o in enumerate(query.outputs)])
+    return out.select(*[of(o.expr).alias(o.name) for o in query.outputs])
 
 
 def _totals(query: Query, source: DataFrame, _: bool) -> DataFrame:
-    return source.agg(*[_aggregate(o.expr).alias(f"o{k}") for k, o in enumerate(query.outputs)])  # type: ignore[arg-type]
+    return source.agg(*[_aggregate(o.expr).alias(o.name) for o in query.outputs])  # type: ignore[arg-type]
