@@ -25,14 +25,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from sparrowql.llm.shared import unique_name, with_fields
+from sparrowql.llm.shared import slices, unique_name, with_fields
 
 #: Rows up to this many bytes go through matrices.
 MATRIX_LIMIT = 1024
 #: Matrix cells of one slice of a bucket, which bounds a task's memory.
 SLICE_CELLS = 2_000_000
 #: Pieces whose ids a task keeps between batches.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -288,16 +288,3 @@ def tokenized(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "te
                 yield pa.RecordBatch.from_arrays(columns, [*names, *added])
 
     return docs.mapInArrow(run, schema)
-
-
-def slices(batch: pa.RecordBatch, text_col: str, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``most_bytes`` of text each, and a row at least."""
-    sizes = np.array([len(t) if t else 0 for t in batch.column(text_col).to_pylist()], np.int64)
-    start, total = 0, 0
-    for i, n in enumerate(sizes):
-        if i > start and total + n > most_bytes:
-            yield batch.slice(start, i - start)
-            start, total = i, 0
-        total += n
-    if len(sizes):
-        yield batch.slice(start)

@@ -1,12 +1,13 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH.
 
 A document holds an item if some part of it is within ``edit_bound`` word edits
-of the item (a fifth of its words). Words are lower-cased runs of ``\\w``.
+of the item (a fifth of its words), or, as typing errors touch many words, within
+half of its words and a fifth of its characters. Words are lower-cased runs of ``\\w``.
 
 1. Windows: of an item of n words with at most E edits, one of E + 1 equal
    pieces stays intact, so every true window holds a gram of n // (E + 1) words
    of the item at its offset. Such grams place the item-sized windows; windows
-   without any can't be within the bound, so nothing is lost by leaving them.
+   without any can't be within the word bound, so nothing is lost by leaving them.
 2. CGK: a random walk copies a window's word or moves on, by a random bit for
    each (step, word), and maps edit distance to Hamming distance. Windows and
    items use the same ``EMBEDDINGS`` walks.
@@ -31,12 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from sparrowql.llm.bpe import slices
 from sparrowql.llm.passages import Seeds, Vocabulary, align, fit_distances, gram_hashes, joined, word_spans, words
-from sparrowql.llm.shared import with_fields
+from sparrowql.llm.shared import slices, with_fields
 
 #: Share of an item's words that edits may touch.
 EDITS = 0.2
+#: Share of an item's words within which its characters are compared too.
+LOOSE = 0.5
 EMBEDDINGS, REPEATS, SAMPLED = 4, 24, 3
 #: Text of the items that one pass sends to every task.
 BLOCK_BYTES = 16_000_000
@@ -89,6 +91,7 @@ class Items:
         tokens = [(i, words(t)) for i, t in items if t]
         tokens = [(i, w) for i, w in tokens if w]
         self.names = [i for i, _ in tokens]
+        self.tokens = [w for _, w in tokens]
         self.vocabulary = Vocabulary([w for _, w in tokens])
         self.codes = [self.vocabulary.encode(w) for _, w in tokens]
         self.sizes = np.array([len(c) for c in self.codes], np.int64)
@@ -119,7 +122,7 @@ class Items:
         for n in np.unique(size):
             part = w[size == n]
             for k in range(0, len(part), ROWS):
-                self._verify(codes, *self._candidates(codes, part[k : k + ROWS], int(n)), out)
+                self._verify(codes, texts, *self._candidates(codes, part[k : k + ROWS], int(n)), out)
         return out
 
     def _slice(self, code: np.ndarray, start: int, end: int) -> np.ndarray:
@@ -143,18 +146,29 @@ class Items:
         pairs = np.unique(np.stack([row[same], self.bucket_items[entry[same]]], axis=1), axis=0)
         return np.stack([windows[pairs[:, 0], 0], pairs[:, 1], windows[pairs[:, 0], 2]], axis=1), n
 
-    def _verify(self, codes: list[np.ndarray], pairs: np.ndarray, n: int, out: dict) -> None:
+    def _verify(self, codes: list[np.ndarray], texts: list[str], pairs: np.ndarray, n: int, out: dict) -> None:
         bound = edit_bound(n)
         for k in range(0, len(pairs), ROWS):
             part = pairs[k : k + ROWS]
             items = np.stack([self.codes[p] for p in part[:, 1].tolist()])
             around = np.stack([self._slice(codes[d], s - bound, s + n + bound) for d, _, s in part.tolist()])
             distance, _ = fit_distances(items, around)
-            for (d, p, s), far in zip(part[distance <= bound].tolist(), distance[distance <= bound].tolist(), strict=True):
-                if p not in out[d] or far < out[d][p][0]:
-                    first = max(0, s - bound)
-                    _, _, a, b = align(self.codes[p].tolist(), codes[d][first : s + n + bound].tolist())
-                    out[d][p] = (far, first + a, first + b)
+            loose = distance <= max(bound, int(n * LOOSE))
+            for (d, p, s), far in sorted(zip(part[loose].tolist(), distance[loose].tolist(), strict=True), key=lambda x: x[1]):
+                if p in out[d] and far >= out[d][p][0]:
+                    continue
+                first = max(0, s - bound)
+                if far > bound and not self._same_characters(p, words(texts[d])[first : s + n + bound]):
+                    continue
+                _, _, a, b = align(self.codes[p].tolist(), codes[d][first : s + n + bound].tolist())
+                out[d][p] = (far, first + a, first + b)
+
+    def _same_characters(self, p: int, around: list[str]) -> bool:
+        """Whether some part of the words is within a fifth of the item's characters."""
+        item = " ".join(self.tokens[p])
+        points = lambda text: np.frombuffer(text.encode("utf-32-le"), np.int32)[None, :]
+        distance, _ = fit_distances(points(item), points(" ".join(around)))
+        return bool(distance[0] <= len(item) * EDITS)
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[object, str]]]:

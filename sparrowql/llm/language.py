@@ -29,8 +29,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparrowql.llm.bpe import slices
-from sparrowql.llm.shared import with_fields
+from sparrowql.llm.shared import slices, with_fields
 
 #: Bounds of the training sample.
 DOCS_A_LANGUAGE, PIECE, MAX_LANGUAGES = 800, 500, 400

@@ -23,9 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sparrowql.llm.bpe import slices
 from sparrowql.llm.passages import Seeds, Vocabulary, align, gram_hashes, joined, word_spans, words
-from sparrowql.llm.shared import with_fields
+from sparrowql.llm.shared import slices, with_fields
 
 GRAM, WINDOW = 3, 4
 COVERAGE, BAND = 0.8, 0.2

@@ -179,5 +179,7 @@ def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
         (F.col("_class") == F.col("_c")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")),
     ).select(F.col("_key").alias("_k"), F.col("_piece").alias("_p"), F.col("_bin").alias("shard"))
     out = rows.join(placed, (F.col("_key") == F.col("_k")) & (F.col("_piece") == F.col("_p"))).select("_id", "size", "text_crc32", "shard")
-    out = gapless(work.save(out, "placed"), ["shard"], [F.col("_id"), F.col("text_crc32"), F.col("size")], F.xxhash64("_id", "text_crc32"), n, "slot")
+    out = work.save(out, "placed")
+    work.keep("placed")
+    out = gapless(out, ["shard"], [F.col("_id"), F.col("text_crc32"), F.col("size")], F.xxhash64("_id", "text_crc32"), n, "slot")
     return out.select(F.col("_id").alias(id_col), "size", "text_crc32", "shard", "slot")

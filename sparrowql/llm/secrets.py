@@ -24,8 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from sparrowql.llm.bpe import slices
-from sparrowql.llm.shared import with_fields
+from sparrowql.llm.shared import slices, with_fields
 
 KINDS = ("assign", "access", "hex", "novel")
 #: The base patterns, and the least length of group 2 or of the match.

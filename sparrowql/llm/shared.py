@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Used only where the session names no shared folder (local runs and tests).
@@ -40,9 +40,15 @@ class Workspace:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
+
+    def path(self, name: str) -> str:
+        """Where a table of this name goes."""
+        self.names.add(name)
+        return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str, schema=None) -> DataFrame:
-        path = f"{self.root}/{name}"
+        path = self.path(name)
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(schema or df.schema).parquet(path)
 
@@ -50,6 +56,12 @@ class Workspace:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.names.discard(name)
+
+    def keep(self, *names: str) -> None:
+        """Removes every table but these."""
+        for name in self.names - set(names):
+            self.drop(name)
 
 
 def release(spark: SparkSession) -> None:
@@ -58,23 +70,17 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def map_batches(
-    df: DataFrame,
-    fn: Callable[[pa.RecordBatch], pa.RecordBatch],
-    schema: str,
-) -> DataFrame:
-    """Apply ``fn`` to every non-empty Arrow batch (mapInArrow)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
-
-    return df.mapInArrow(run, schema)
-
-
-def text_or_empty(name: str = "text"):
-    return F.coalesce(F.col(name), F.lit(""))
+def slices(batch: pa.RecordBatch, text_col: str, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``most_bytes`` of text each, and a row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_pylist()
+    start, total = 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and total + n > most_bytes:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if sizes:
+        yield batch.slice(start)
 
 
 def unique_name(taken: list[str], wanted: str) -> str:

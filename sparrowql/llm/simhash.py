@@ -30,9 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowql.llm.bpe import slices
 from sparrowql.llm.graph import connected_components
-from sparrowql.llm.shared import Workspace, with_fields
+from sparrowql.llm.shared import Workspace, slices, unique_name, with_fields
 
 RADIUS = 3
 PIVOTS = 24
@@ -216,7 +215,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, work: Workspace) -> tu
     named = points.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("class"))
     named = work.save(named, "named")
     least = named.groupBy("class").agg(F.min("least").alias("_component")).withColumnRenamed("class", "d")
-    return marked, work.save(named.join(least, F.col("class") == F.col("d")).select("fp", "class", "_component"), "classes")
+    classes = work.save(named.join(least, F.col("class") == F.col("d")).select("fp", "class", "_component"), "classes")
+    work.keep("fingerprints", "classes")
+    return marked, classes
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,22 +233,25 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     work = Workspace(docs.sparkSession, "dedup")
     marked, classes = _classes(docs, id_col, text_col, work)
-    keep = classes.where("_component is not null").select(F.col("_component").alias("_keep")).distinct()
-    kept = docs.join(keep, F.col(id_col) == F.col("_keep"), "left_semi")
+    key, fp = unique_name(docs.columns, "_keep"), unique_name(docs.columns, "_fp")
+    keep = classes.where("_component is not null").select(F.col("_component").alias(key)).distinct()
+    kept = docs.join(keep, F.col(id_col) == F.col(key), "left_semi")
     if marked.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").head(1):
         kept = kept.dropDuplicates([id_col])
     if not marked.where(F.col(id_col).isNull()).head(1):
         return kept
     nameless = docs.where(F.col(id_col).isNull())
-    schema = with_fields(docs.schema, _fp="long")
+    schema = with_fields(docs.schema, **{fp: "long"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t) for t in batch.column(text_col).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], schema.names)
 
-    nameless = nameless.mapInArrow(run, schema).join(classes.where("_component is null"), F.col("_fp") == F.col("fp"))
-    return kept.unionByName(nameless.dropDuplicates(["class"]).select(*docs.columns))
+    other, name = unique_name(schema.names, "_other"), unique_name(schema.names, "_class")
+    wanted = classes.where("_component is null").select(F.col("fp").alias(other), F.col("class").alias(name))
+    nameless = nameless.mapInArrow(run, schema).join(wanted, F.col(fp) == F.col(other))
+    return kept.unionByName(nameless.dropDuplicates([name]).select(*docs.columns))
 
 
 def stage(spark, docs: DataFrame) -> DataFrame:

@@ -71,7 +71,25 @@ def test_recall_against_brute_force():
             if fit(target, tokens) <= D.edit_bound(len(target)):
                 want.add((d, p))
     got = {(d, p) for d, x in found.items() for p in x}
-    assert len(want) > 80 and got <= want and len(got) >= 0.97 * len(want)
+    assert len(want) > 80 and len(got & want) >= 0.97 * len(want)
+    for d, p in got - want:
+        item = " ".join(words(items[p]))
+        assert fit(item, " ".join(words(docs[d]))) <= D.EDITS * len(item)
+
+
+def test_typing_errors_in_many_words():
+    rng = random.Random(6)
+    items, _ = corpus(rng, 30, 1)
+    longer = [" ".join(w + w[1:] * 3 for w in i.rstrip(".").split()) for i in items]
+    docs = []
+    for item in longer:
+        tokens = item.split()
+        for k in rng.sample(range(len(tokens)), len(tokens) // 4):
+            tokens[k] = tokens[k][:1] + "x" + tokens[k][2:]
+        docs.append("before it " + " ".join(tokens) + " after it")
+    found = D.Items(list(enumerate(longer))).find(docs)
+    assert sum(k in found.get(k, {}) for k in range(30)) >= 21
+    assert D.Items(list(enumerate(longer))).find([" ".join(rng.choice(longer).split()[::2]) for _ in range(20)]) == {}
 
 
 def test_frames(spark):
