@@ -23,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparrowql.llm.shared import unique_name
+
 #: Rows of the broadcast filter at most, 40 bytes each.
 MAX_BLOCKS = 1 << 16
 #: Listed keys a block; eight bits of 256 each.
@@ -129,14 +131,15 @@ def listed_urls(urls: DataFrame, listed: DataFrame, url_col: str = "url", listed
 
 
 def url_filter(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = (), url_col: str = "url", listed_col: str = "url") -> DataFrame:
-    """The input rows with ``_host``, ``_path``, ``_rule`` and ``_verdict``."""
-    hits = listed_urls(pages, listed, url_col, listed_col)
-    rest = url_rest(F.coalesce(F.col(url_col), F.lit("")))
-    df = pages.join(hits, F.col(url_col) == F.col("_listed_url"), "left")
-    df = df.select(*pages.columns, "_listed_url", url_host(rest).alias("_host"), url_path(rest).alias("_path"))
-    rule, verdict = fitting_rule(F.col("_host"), F.col("_path"), rules)
+    """The input rows with ``_host``, ``_path``, ``_rule`` and ``_verdict`` (with more underscores where these are taken)."""
+    hits = listed_urls(pages.select(url_col), listed, url_col, listed_col)
+    rest = url_rest(F.coalesce(F.col("_url"), F.lit("")))
+    df = pages.select(F.struct("*").alias("_row"), F.col(url_col).alias("_url")).join(hits, F.col("_url") == F.col("_listed_url"), "left")
+    df = df.select("_row", "_listed_url", url_host(rest).alias("host"), url_path(rest).alias("path"))
+    rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("_listed_url").isNotNull(), "block").otherwise("allow")
-    return df.select(*pages.columns, "_host", "_path", rule.alias("_rule"), F.coalesce(verdict, method).alias("_verdict"))
+    added = {"_host": F.col("host"), "_path": F.col("path"), "_rule": rule, "_verdict": F.coalesce(verdict, method)}
+    return df.select("_row.*", *[c.alias(unique_name(pages.columns, name)) for name, c in added.items()])
 
 
 #: The rules of the query (host, path, verdict) and its listed hosts.

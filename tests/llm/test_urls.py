@@ -39,4 +39,6 @@ def test_bloom_has_no_false_negatives_and_the_join_removes_false_positives(spark
     assert {r.page_id for r in out.where("_verdict = 'block'").collect()} == set(range(0, 3000, 3))
     assert U.url_filter(pages, listed.limit(0)).where("_verdict = 'block'").count() == 0
     assert U.url_filter(pages.limit(0), listed).count() == 0
-    assert out.columns[:2] == pages.columns
+    assert out.columns == [*pages.columns, "_host", "_path", "_rule", "_verdict"]
+    taken = U.url_filter(pages.selectExpr("*", "1 AS _host", "2 AS _url", "3 AS _listed_url", "4 AS _row"), listed)
+    assert taken.columns[-4:] == ["__host", "_path", "_rule", "_verdict"] and taken.where("_verdict = 'block'").count() == 1000
