@@ -59,8 +59,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        made = work.save(stage(spark, docs, sf_dir), name)
-        docs = made
+        docs = work.save(stage(spark, docs, sf_dir), name)
+        work.keep(name)
     return docs
 
 
