@@ -41,7 +41,7 @@ EDITS = 0.2
 LOOSE = 0.5
 EMBEDDINGS, REPEATS, SAMPLED = 4, 24, 3
 #: Text of the items that one pass sends to every task.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 4_000_000
 #: Rows of matrices at once.
 ROWS = 20_000
 
@@ -104,10 +104,15 @@ class Items:
         self.buckets = np.zeros(0, np.uint64)
         self.bucket_items = np.zeros(0, np.int64)
         if self.codes:
-            keys = np.concatenate([lsh_keys(c[None, :], np.array([len(c)])) for c in self.codes])
-            flat, of = keys.ravel(), np.repeat(np.arange(len(self.codes)), keys.shape[1])
+            keys, of = [], []
+            for n in np.unique(self.sizes):
+                same = np.flatnonzero(self.sizes == n)
+                found = lsh_keys(np.stack([self.codes[p] for p in same]), np.full(len(same), n))
+                keys.append(found.ravel())
+                of.append(np.repeat(same, found.shape[1]))
+            flat = np.concatenate(keys)
             order = np.argsort(flat, kind="stable")
-            self.buckets, self.bucket_items = flat[order], of[order]
+            self.buckets, self.bucket_items = flat[order], np.concatenate(of)[order]
 
     def find(self, texts: list[str]) -> dict[int, dict[int, tuple[int, int, int]]]:
         """text -> item -> (distance, first word, end word) of the best window."""
