@@ -65,6 +65,15 @@ class Engine:
         for name, key in keys.items():
             self.register_parquet(name, f"{folder}/{name}.parquet", key)
 
+    def open(self, folder: str) -> list[str]:
+        """Every ``<name>.parquet`` of a folder, as written by ``import_sqlite``; their names."""
+        self._statements.clear()
+        return self.catalog.open(folder)
+
+    def cache(self, name: str) -> None:
+        """Keeps a table's columns in memory from their first use on, with extremes of each batch."""
+        self.catalog.table(name).frame.cache()
+
     def table(self, name: str) -> Table:
         return self.catalog.table(name)
 
@@ -76,7 +85,7 @@ class Engine:
             frame = sqlite.read_table(self.spark, path, layout)
             target = f"{folder.rstrip('/')}/{layout.table}.parquet"
             frame.write.mode("overwrite").parquet(target)
-            self.catalog.register_parquet(layout.table, target, layout.key, layout.indexes)
+            self.catalog.register_parquet(layout.table, target)
         return [layout.table for layout in found]
 
     def save(self, name: str, path: str) -> None:

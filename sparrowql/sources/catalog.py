@@ -18,6 +18,9 @@ ROWID_NAMES = ("rowid", "_rowid_", "oid")
 #: Field metadata of a stored row id that isn't among the visible columns.
 HIDDEN = "sparrowql.hidden"
 DECLARED = "sparrowql.declared"
+#: Field metadata of a table's key, and of columns that had an index where they come from.
+KEY = "sparrowql.key"
+INDEXED = "sparrowql.indexed"
 
 _WIDTHS = {"byte": 8, "tinyint": 8, "short": 16, "smallint": 16, "integer": 32, "int": 32, "long": 64, "bigint": 64}
 
@@ -125,7 +128,22 @@ class Catalog:
     def register(self, name: str, frame: DataFrame, key: str | None = None) -> Table:
         return self.add(Table(name, frame, key))
 
-    def register_parquet(self, name: str, path: str, key: str | None = None, indexes: tuple[str, ...] = ()) -> Table:
+    def register_parquet(self, name: str, path: str, key: str | None = None) -> Table:
+        """Files as a table; without ``key``, the key is what their metadata names, if any."""
         with _second_reader(self.spark):
             footer = self.spark.read.parquet(path)
-        return self.add(Table(name, self.spark.read.parquet(path), key, True, footer, indexes))
+        frame = self.spark.read.parquet(path)
+        marked = lambda mark: [f.name for f in frame.schema.fields if (f.metadata or {}).get(mark)]
+        key = key or next(iter(marked(KEY)), None)
+        return self.add(Table(name, frame, key, True, footer, tuple(sorted(marked(INDEXED)))))
+
+    def open(self, folder: str) -> list[str]:
+        """Registers every ``<name>.parquet`` of a folder; their names."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path)
+        names = sorted(f.getPath().getName() for f in found)
+        tables = [n.removesuffix(".parquet") for n in names if n.endswith(".parquet")]
+        for name in tables:
+            self.register_parquet(name, f"{folder.rstrip('/')}/{name}.parquet")
+        return tables

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from sparrowql.errors import SourceError, UnsupportedError
-from sparrowql.sources.catalog import DECLARED, HIDDEN, ROWID_NAMES
+from sparrowql.sources.catalog import DECLARED, HIDDEN, INDEXED, KEY, ROWID_NAMES
 
 #: Row ids that one partition reads, and rows of one Arrow batch.
 PARTITION_ROWS, BATCH_ROWS = 500_000, 20_000
@@ -48,7 +48,8 @@ class Layout:
         if self.hidden:
             out = out.add(self.hidden, T.LongType(), False, {HIDDEN: True})
         for column, kind, declared in self.columns:
-            out = out.add(column, _TYPES[kind], column != self.key, {DECLARED: declared})
+            marks = {DECLARED: declared} | ({KEY: True} if column == self.key else {}) | ({INDEXED: True} if column in self.indexes else {})
+            out = out.add(column, _TYPES[kind], column != self.key, marks)
         return out
 
 

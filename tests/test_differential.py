@@ -123,6 +123,11 @@ def test_import_metadata_and_refusals(both, spark, tmp_path):
     engine, _, _ = both
     facts = engine.table("FACTS")
     assert facts.key == "fid" and facts.indexes == ("code", "maybe") and facts.field("note").metadata["sparrowql.declared"] == "TEXT"
+    again = Engine(spark)
+    assert again.open(both[2]) == ["dims", "facts", "hollow", "loose"] and again.table("facts").key == "fid" and again.table("facts").indexes == facts.indexes
+    again.cache("facts")
+    assert again.rows("SELECT oid FROM facts WHERE grp > 3 LIMIT 2") == engine.rows("SELECT oid FROM facts WHERE grp > 3 LIMIT 2")
+    again.table("facts").frame.unpersist()
     assert engine.table("loose").key is None and [f.name for f in engine.table("loose").fields] == ["x", "y"]
     for ddl in ("CREATE TABLE t(a INTEGER PRIMARY KEY) WITHOUT ROWID", "CREATE TABLE t(a); INSERT INTO t VALUES (1), ('x')", "CREATE TABLE t(a); INSERT INTO t VALUES (x'00')"):
         path = str(tmp_path / f"{abs(hash(ddl))}.db")
