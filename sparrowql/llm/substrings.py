@@ -101,19 +101,16 @@ class Chunk:
         self.copy[np.array(copies, np.int64)] = True
         self.rank = np.cumsum(np.r_[False, ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, np.int64)
         self.eights = windows_of(data)
-        self.doc = np.repeat(np.arange(len(ids)), self.lengths)  # of each byte
-
-    def _fits(self, length: int) -> np.ndarray:
-        """Whether ``length`` bytes from each position lie in one document that takes part."""
-        room = np.repeat(self.starts + self.lengths, self.lengths) - np.arange(len(self.data))
-        return (room >= length) & ~self.copy[self.doc]
+        self.doc = np.repeat(np.arange(len(ids), dtype=np.int32), self.lengths)  # of each byte
+        # bytes of the document from each position on; none where it can't hold or mark a window
+        taking_part = np.where(self.copy | (self.lengths < LENGTH), 0, self.starts + self.lengths)
+        self.room = np.repeat(taking_part, self.lengths) - np.arange(len(data))
 
     def samples(self) -> np.ndarray:
-        position = np.arange(len(self.data))
         cover = np.zeros(MODULUS, bool)
         cover[list(COVER)] = True
-        long_enough = np.repeat(self.lengths >= LENGTH, self.lengths)
-        return position[cover[position % MODULUS] & self._fits(TUPLE) & long_enough]
+        n = len(self.data)
+        return np.flatnonzero(np.tile(cover, n // MODULUS + 1)[:n] & (self.room >= TUPLE))
 
     def candidates(self, samples: np.ndarray, twin: np.ndarray) -> np.ndarray:
         """Window starts of which a sample has a twin in another document."""
@@ -121,7 +118,7 @@ class Chunk:
         count = np.zeros(n + MODULUS + 1, np.int32)
         count[samples[twin] + 1] = 1
         count = np.cumsum(count, dtype=np.int32)
-        return np.flatnonzero((count[MODULUS : MODULUS + n] > count[:n]) & self._fits(LENGTH))
+        return np.flatnonzero((count[MODULUS : MODULUS + n] > count[:n]) & (self.room >= LENGTH))
 
 
 class Names:
@@ -303,7 +300,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = rows.where("id is not null").repartitionByRange(n_parts, "id").sortWithinPartitions("id")
     made = dealt.mapInArrow(lambda b: _chunked(b, chunk_bytes), "chunk long, ids array<long>, lengths array<long>, digests array<binary>, data binary")
     name = f"chunks_{uuid.uuid4().hex}"
-    made.write.bucketBy(n_parts, "chunk").saveAsTable(name)
+    made.write.bucketBy(n_parts, "chunk").option("path", work.path("chunks")).saveAsTable(name)
     del made, dealt
     release(spark)
     chunks = spark.table(name)
@@ -311,6 +308,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     apart = chunks.select("chunk", F.posexplode(F.arrays_zip("ids", "digests")).alias("at", "x"))
     apart = apart.select("chunk", "at", F.col("x.ids").alias("id"), F.col("x.digests").alias("digest"))
     first = apart.groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("d"), "least")
+    first = work.save(first, "first")  # so that the join below is plain, and Spark can split a digest of many copies
     copies = apart.join(first, (F.col("digest") == F.col("d")) & (F.col("id") > F.col("least")))
     copies = work.save(copies.groupBy(F.col("chunk").alias("c0")).agg(F.collect_list("at").alias("copies")), "copies")
 
@@ -351,6 +349,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield _results(chunk, covered(chunk, at[smaller]), with_text)
 
     out = work.save(joined(copies, one, two).mapInArrow(final, schema), "results")
+    work.keep("results")
     spark.sql(f"DROP TABLE {name}")
     if n_null:
 
