@@ -1,6 +1,6 @@
 """A training-corpus pipeline of five operators, each stage written and read again.
 
-quality rules -> SimHash near-dedup -> benchmark decontamination -> secret
+quality rules -> Jaccard near-dedup -> benchmark decontamination -> secret
 scans -> byte-level BPE. Every stage works on all that the one before it kept.
 """
 
@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparrowql.llm import bpe, decontamination, quality, secrets, simhash
+from sparrowql.llm import bpe, decontamination, jaccard, quality, secrets
 from sparrowql.llm.shared import Workspace, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates, that of the least id."""
-    return simhash.stage(spark, docs)
+    return jaccard.stage(spark, docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("tokenize", tokenize),
 ]
 
-#: SQL can express neither fingerprints, embeddings, compression nor BPE.
+#: SQL can express neither near-dedup, embeddings, compression nor BPE.
 ORACLE_SQL = None
 
 

@@ -22,7 +22,7 @@ ids alone has a null component; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -231,8 +231,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     A class without any id keeps one of its rows.
     """
-    work = Workspace(docs.sparkSession, "dedup")
-    marked, classes = _classes(docs, id_col, text_col, work)
+    marked, classes = _classes(docs, id_col, text_col, Workspace(docs.sparkSession, "dedup"))
+    return survivors(docs, marked, classes, fingerprint, id_col, text_col)
+
+
+def survivors(docs: DataFrame, marked: DataFrame, classes: DataFrame, mark: Callable[[str | None], int], id_col: str, text_col: str) -> DataFrame:
+    """The rows that ``near_dedup`` keeps.
+
+    ``marked`` and ``classes`` are as of ``_classes``; ``mark`` gives a text's _fp.
+    """
     key, fp = unique_name(docs.columns, "_keep"), unique_name(docs.columns, "_fp")
     keep = classes.where("_component is not null").select(F.col("_component").alias(key)).distinct()
     kept = docs.join(keep, F.col(id_col) == F.col(key), "left_semi")
@@ -245,15 +252,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t) for t in batch.column(text_col).to_pylist()], np.uint64)
+            found = np.array([mark(t) for t in batch.column(text_col).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], schema.names)
 
     other, name = unique_name(schema.names, "_other"), unique_name(schema.names, "_class")
     wanted = classes.where("_component is null").select(F.col("fp").alias(other), F.col("class").alias(name))
     nameless = nameless.mapInArrow(run, schema).join(wanted, F.col(fp) == F.col(other))
     return kept.unionByName(nameless.dropDuplicates([name]).select(*docs.columns))
-
-
-def stage(spark, docs: DataFrame) -> DataFrame:
-    """Pipeline stage: one document of each near-duplicate class."""
-    return near_dedup(docs).select(*docs.columns)
