@@ -1,7 +1,7 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
 Base counts come from array functions over each whole text. The thresholds of
-six further rules are calibrated on labelled holdouts: for each stratum and
+six further rules are calibrated on every labelled document: for each stratum and
 rule, cutoffs are tested from the laxest to the strictest, and a cutoff passes
 while the exact binomial tail P(Bin(n, alpha / rules) <= false rejections) is
 at most delta / (strata * rules). Testing in a fixed order and stopping at the
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sparrowql.llm.shared import Workspace, unique_name
 
-#: Labelled rows that calibration reads, about (a hash of the id picks them).
+#: Labels over which ORACLE_SQL alone still reads a sample; calibration here reads every label.
 MAX_LABELS = 40_000
 #: False rejections that a stratum allows, and the risk of allowing more.
 ALPHA, DELTA = 0.02, 0.05
@@ -142,30 +142,23 @@ def binomial_tail(k: Column, n: Column, p: float | Column) -> Column:
 
 
 def calibrate(
-    docs: DataFrame,
+    measured: DataFrame,
     labels: DataFrame,
+    work: Workspace,
     id_col: str = "doc_id",
-    text_col: str = "text",
-    stratum_col: str = "lang",
     label_col: str = "quality",
     alpha: float = ALPHA,
     delta: float = DELTA,
-    max_labels: int = MAX_LABELS,
 ) -> DataFrame:
     """One row a stratum: ``stratum`` and ``cutoffs`` (map of rule to cutoff).
 
-    Reads about ``max_labels`` labelled documents, so it has at most as many rows.
+    ``measured`` has _id, _stratum, base_failed and measures of every document;
+    every labelled one among them is tallied.
     """
     good = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    n = good.count()
-    if n > max_labels:
-        good = good.where(F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 8), 16, 10).cast("long") < int((1 << 32) * max_labels / n))
     good = good.groupBy(F.col(id_col).alias("_label_id")).agg((F.min(label_col) > 0).alias("_good"))
-    taken = docs.select(
-        F.col(id_col).alias("_id"), F.col(text_col).alias("_body"), F.coalesce(F.col(stratum_col), F.lit("")).alias("_stratum")
-    )
-    taken = taken.join(F.broadcast(good), F.col("_id") == F.col("_label_id")).select("_stratum", "_good", "_body")
-    measured = quality_counts(taken, "_body").where(~F.col("base_failed")).select("_stratum", "_good", "measures")
+    taken = measured.where(~F.col("base_failed")).select("_id", "_stratum", "measures")
+    measured = taken.join(good, F.col("_id") == F.col("_label_id")).select("_stratum", "_good", "measures")
     # how many cutoffs a value exceeds: cutoff c rejects it if that number is over c
     level = F.explode(
         F.array(*[F.struct(F.lit(r).alias("rule"), F.ceil(F.col(f"measures.{r}") * CUTOFFS).cast("int").alias("level")) for r in RULES])
@@ -175,7 +168,7 @@ def calibrate(
         .groupBy("_stratum", "x.rule", "x.level")
         .agg(F.count(F.when(F.col("_good"), 1)).alias("good"), F.count(F.when(~F.col("_good"), 1)).alias("bad"))
     )
-    tally = Workspace(docs.sparkSession, "quality").save(tally, "tally")  # read twice, and small
+    tally = work.save(tally, "tally")  # read twice, and small
     tests = tally.groupBy("_stratum", "rule").agg(
         F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"), F.collect_list(F.struct("level", "good", "bad")).alias("levels")
     )
@@ -207,16 +200,24 @@ def quality_rules(
     id_col: str = "doc_id",
     text_col: str = "text",
     stratum_col: str = "lang",
+    carry: list[str] | None = None,
     **limits,
 ) -> DataFrame:
     """The input rows with COUNTS, ``failed_rules`` (array) and ``kept``.
 
-    Cutoffs are a broadcast of at most ``max_labels`` rows; texts aren't shuffled.
+    Of the input's columns those in ``carry`` are given, all by default. They are
+    written once with the counts, which calibration and verdict share; texts
+    aren't shuffled. Cutoffs are a broadcast of a row for each stratum that has any.
     """
-    cutoffs = calibrate(docs, labels, id_col, text_col, stratum_col, **limits)
-    names = {c: unique_name(docs.columns, c) for c in (*COUNTS, "failed_rules", "kept")}
-    body = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_body"), F.coalesce(F.col(stratum_col), F.lit("")).alias("_stratum"))
-    judged = quality_counts(body, "_body").join(F.broadcast(cutoffs), F.col("_stratum") == F.col("stratum"), "left")
+    carry = carry or docs.columns
+    work = Workspace(docs.sparkSession, "quality")
+    names = {c: unique_name(carry, c) for c in (*COUNTS, "failed_rules", "kept")}
+    body = docs.select(
+        F.struct(*carry).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_body"), F.coalesce(F.col(stratum_col), F.lit("")).alias("_stratum")
+    )
+    measured = work.save(quality_counts(body, "_body").drop("_body"), "measured")
+    cutoffs = calibrate(measured, labels, work, id_col, **limits)
+    judged = measured.join(F.broadcast(cutoffs), F.col("_stratum") == F.col("stratum"), "left")
     failed = F.filter(
         F.array(*[F.when(F.col(f"measures.{r}") > F.try_element_at("cutoffs", F.lit(r)), F.lit(r)) for r in RULES]), lambda x: x.isNotNull()
     )

@@ -53,3 +53,13 @@ def test_cutoffs_spare_good_rows_and_cases_hold(spark):
     assert Q.quality_rules(docs, labels.limit(0)).where("_kept").count() == 3001
     assert Q.quality_rules(docs.limit(0), labels).count() == 0
     assert Q.stage(spark, docs, labels).columns == docs.columns
+
+
+def test_every_label_counts(spark):
+    # a language of few labels passes only if none is left out, however many labels there are
+    rows = [(i, body(i, i % 10 == 0), "en") for i in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few = [(i, int(i % 10 > 0)) for i in range(2400)]
+    labels = spark.createDataFrame(few, "doc_id long, quality int").union(spark.range(10_000, 90_000).selectExpr("id", "1"))
+    bad = Q.quality_rules(docs, labels).where("not kept")
+    assert {r.doc_id for r in bad.collect()} == set(range(0, 2400, 10))
