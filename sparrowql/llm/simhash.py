@@ -243,11 +243,14 @@ def survivors(docs: DataFrame, marked: DataFrame, classes: DataFrame, mark: Call
     key, fp = unique_name(docs.columns, "_keep"), unique_name(docs.columns, "_fp")
     keep = classes.where("_component is not null").select(F.col("_component").alias(key)).distinct()
     kept = docs.join(keep, F.col(id_col) == F.col(key), "left_semi")
-    if marked.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").head(1):
-        kept = kept.dropDuplicates([id_col])
-    if not marked.where(F.col(id_col).isNull()).head(1):
-        return kept
+    # rows that their ids don't name are chosen by class
     nameless = docs.where(F.col(id_col).isNull())
+    repeated = marked.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(key)).count().where("count > 1").select(key)
+    if repeated.head(1):
+        kept = kept.join(repeated, F.col(id_col) == F.col(key), "left_anti")
+        nameless = nameless.unionByName(docs.join(repeated, F.col(id_col) == F.col(key), "left_semi"))
+    elif not marked.where(F.col(id_col).isNull()).head(1):
+        return kept
     schema = with_fields(docs.schema, **{fp: "long"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +258,7 @@ def survivors(docs: DataFrame, marked: DataFrame, classes: DataFrame, mark: Call
             found = np.array([mark(t) for t in batch.column(text_col).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], schema.names)
 
-    other, name = unique_name(schema.names, "_other"), unique_name(schema.names, "_class")
-    wanted = classes.where("_component is null").select(F.col("fp").alias(other), F.col("class").alias(name))
-    nameless = nameless.mapInArrow(run, schema).join(wanted, F.col(fp) == F.col(other))
+    other, name, least = (unique_name(schema.names, c) for c in ("_other", "_class", "_least"))
+    wanted = classes.select(F.col("fp").alias(other), F.col("class").alias(name), F.col("_component").alias(least))
+    nameless = nameless.mapInArrow(run, schema).join(wanted, F.col(fp) == F.col(other)).where(F.col(id_col).eqNullSafe(F.col(least)))
     return kept.unionByName(nameless.dropDuplicates([name]).select(*docs.columns))

@@ -3,6 +3,7 @@ import re
 
 import corpus_pipeline
 from sparrowql.llm import jaccard as J
+from sparrowql.llm import simhash
 
 
 def brute_set(text):
@@ -71,3 +72,11 @@ def test_cases(spark):
     docs = spark.createDataFrame([(None, "one two"), (None, "One  two"), (3, None), (2, ""), (5, "x y z")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, (r.text or "").lower().split()) for r in J.near_dedup(docs).collect()) == [(0, ["one", "two"]), (2, []), (5, ["x", "y", "z"])]
     assert J.near_dedup(docs.limit(0)).count() == 0
+
+
+def test_repeated_ids_of_different_texts(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    docs = spark.createDataFrame([(1, a), (1, b), (3, a), (3, c), (4, c), (None, b), (None, "alone")], "doc_id long, text string")
+    want = [(0, "alone"), (1, a), (1, b), (3, c)]
+    for dedup in (J.near_dedup, simhash.near_dedup):
+        assert sorted((r.doc_id or 0, r.text) for r in dedup(docs).collect()) == want
