@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparrowql.plans.binder import INT32_MAX, Interval
-from sparrowql.sources.catalog import width_of
+from sparrowql.sources.catalog import quoted, width_of
 
 
 def full_range(data_type: T.DataType) -> Interval:
@@ -40,13 +40,13 @@ def keep(df: DataFrame, intervals: Mapping[str, tuple[T.DataType, Interval]]) ->
     """Rows whose columns lie in their intervals; a contradiction leaves an empty relation without a scan."""
     if any(i.empty for _, i in intervals.values()):
         return df.where(F.lit(False))
-    parts = [within(F.col(name), data_type, interval) for name, (data_type, interval) in intervals.items()]
+    parts = [within(quoted(name), data_type, interval) for name, (data_type, interval) in intervals.items()]
     return df.where(reduce(and_, parts)) if parts else df
 
 
 def equi_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Inner join; Spark chooses the strategy and splits skewed keys at run time."""
-    return left.join(right, F.col(left_key) == F.col(right_key), "inner")
+    return left.join(right, quoted(left_key) == quoted(right_key), "inner")
 
 
 def ordered(keys: Sequence[tuple[Column, bool]]) -> list[Column]:

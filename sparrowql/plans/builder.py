@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from sparrowql.functions.aggregates import aggregate
 from sparrowql.operators.relational import equi_join, full_range, keep, ordered, take
 from sparrowql.plans.analyzer import Agg, Col, Expr, Query
 from sparrowql.plans.binder import Interval, Value, arguments, row_bound, value_of
-from sparrowql.sources.catalog import Table, quoted
+from sparrowql.sources.catalog import Table, kind_of, quoted
 
 
 def internal(column: Col) -> str:
@@ -54,7 +54,7 @@ def _intervals(query: Query, args: Sequence[Value]) -> list[dict[str, tuple]]:
     """For each side, what its comparisons leave of each column."""
     out: list[dict[str, tuple]] = [{} for _ in query.tables]
     for p in query.predicates:
-        name = f"`{internal(p.column)}`"
+        name = internal(p.column)
         kind, interval = out[p.column.side].setdefault(name, (p.column.type, full_range(p.column.type)))
         interval.narrow(p.op, value_of(p.operand, args))
     return out
@@ -67,7 +67,43 @@ def _footer_answers(query: Query) -> bool:
     return query.shape == "totals" and len(query.tables) == 1 and not query.predicates and table.footer is not None and simple
 
 
-def build(query: Query, args: Sequence[Value] = (), ordered_groups: bool = True) -> DataFrame:
+#: Rows of LIMIT and OFFSET together up to which a query without ORDER BY stops early, rows of a join's
+#: left side that it tries, and files that it tries after the first.
+EARLY_ROWS, EARLY_LEFT, EARLY_FILES = 10_000, 2_000, 32
+
+
+def _first_rows(table: Table, of: Callable[[Table], DataFrame], wanted: int) -> tuple[DataFrame, bool] | None:
+    """The first rows of one side by row id, and whether these are all that it has; None if the first files don't hold enough.
+
+    They are read now: the first file's splits one after another, until enough
+    rows are found, and then the next files together.
+    """
+    for n in sorted({1, min(EARLY_FILES, len(table.files))}):
+        frame = of(table if n == len(table.files) else table.first_files(n))
+        if n > 1:
+            frame = frame.orderBy(column(rowid(0)))
+        rows = frame.limit(wanted).collect()
+        if len(rows) == wanted or n == len(table.files):
+            return frame.sparkSession.createDataFrame(rows, frame.schema), len(rows) < wanted
+    return None
+
+
+def _early(query: Query, sides: Sequence[DataFrame], of: Callable[[Table], DataFrame], wanted: int) -> DataFrame:
+    """The first side, cut to the rows that the query's first ``wanted`` rows come from where these are soon found."""
+    table = query.tables[0]
+    if not (table.in_order and table.files) or any(kind_of(f.dataType) == "other" for f in sides[0].schema.fields):
+        return sides[0]
+    found = _first_rows(table, of, wanted if query.join is None else max(EARLY_LEFT, wanted))
+    if found is None:
+        return sides[0]
+    first, complete = found
+    if query.join is None or complete:
+        return first
+    joined = equi_join(first, sides[1], internal(query.join[0]), internal(query.join[1]))
+    return first if joined.limit(wanted).count() == wanted else sides[0]
+
+
+def build(query: Query, args: Sequence[Value] = (), ordered_groups: bool = False) -> DataFrame:
     """The query as a DataFrame; with ``ordered_groups``, groups come in the order of their keys."""
     args = arguments(args, query.n_params)
     limit, offset = row_bound(query.limit, args, "LIMIT"), row_bound(query.offset, args, "OFFSET")
@@ -80,10 +116,14 @@ def build(query: Query, args: Sequence[Value] = (), ordered_groups: bool = True)
         source = table.footer.select(*[quoted(c.name).alias(internal(c)) for c in sorted(named, key=internal)])  # type: ignore[union-attr, arg-type]
     else:
         columns = _referenced(query, need_rowids)
-        sides = [keep(_side(t, s, columns), intervals[s]) for s, t in enumerate(query.tables)]  # type: ignore[arg-type]
+        of_side = lambda t, s: keep(_side(t, s, columns), intervals[s])  # type: ignore[arg-type]
+        sides = [of_side(t, s) for s, t in enumerate(query.tables)]
+        wanted = (limit or 0) + (offset or 0)
+        if need_rowids and not query.sorts and limit is not None and 0 < wanted <= EARLY_ROWS:
+            sides[0] = _early(query, sides, lambda t: of_side(t, 0), wanted)
         source = sides[0]
         if query.join:
-            source = equi_join(sides[0], sides[1], f"`{internal(query.join[0])}`", f"`{internal(query.join[1])}`")
+            source = equi_join(sides[0], sides[1], internal(query.join[0]), internal(query.join[1]))
     shape = {"rows": _rows, "groups": _groups, "totals": _totals}[query.shape]
     out = shape(query, source, cut or ordered_groups)
     return take(out, limit, offset)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparrowql.engine import Engine
 
-#: Tables and their keys; lineitem has none, so it gets a hidden row id.
+#: Tables and their keys, by which their rows stand; lineitem has none, so it gets a hidden row id.
 KEYS: dict[str, str | None] = {
     "region": "r_regionkey",
     "nation": "n_nationkey",
@@ -87,7 +87,7 @@ SPECS: dict[str, tuple[str, str, tuple, str | None]] = {
 
 def engine(spark: SparkSession, sf_dir: str, tables: str) -> Engine:
     made = Engine(spark)
-    made.register_folder(sf_dir, {t: KEYS[t] for t in tables.split()})
+    made.register_folder(sf_dir, {t: KEYS[t] for t in tables.split()}, in_order=True)
     return made
 
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cached_property
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from sparrowql.errors import SemanticError
 
@@ -21,6 +22,10 @@ DECLARED = "sparrowql.declared"
 #: Field metadata of a table's key, and of columns that had an index where they come from.
 KEY = "sparrowql.key"
 INDEXED = "sparrowql.indexed"
+#: Field metadata of a row id by which the rows stand in their files.
+SORTED = "sparrowql.sorted"
+#: Files whose first places are broadcast at most; beyond that they are joined.
+MOST_FILES = 100_000
 
 _WIDTHS = {"byte": 8, "tinyint": 8, "short": 16, "smallint": 16, "integer": 32, "int": 32, "long": 64, "bigint": 64}
 
@@ -39,13 +44,22 @@ def width_of(data_type: T.DataType) -> int:
     return _WIDTHS[data_type.simpleString()]
 
 
+def unused(names: Iterable[str], wanted: str) -> str:
+    """``wanted``, with underscores before it until no column has that name."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted
+
+
 @dataclass(frozen=True)
 class Table:
     """A named table.
 
     ``key``: the column that is its row id, if it has one; ``from_files``: its
     frame reads files directly, so row places can stand in for a key; ``footer``:
-    the same files by the reader that answers counts and extremes from footers.
+    the same files by the reader that answers counts and extremes from footers;
+    ``in_order``: within and across its files, by path, rows stand by their row ids.
     """
 
     name: str
@@ -54,6 +68,7 @@ class Table:
     from_files: bool = False
     footer: DataFrame | None = None
     indexes: tuple[str, ...] = ()
+    in_order: bool = False
 
     @property
     def fields(self) -> list[T.StructField]:
@@ -69,23 +84,67 @@ class Table:
         hidden = [f.name for f in self.frame.schema.fields if (f.metadata or {}).get(HIDDEN)]
         return self.key or (hidden[0] if hidden else None)
 
+    @cached_property
+    def files(self) -> list[str]:
+        """The paths of its files, in order; listed once."""
+        return sorted(self.frame.inputFiles()) if self.from_files else []
+
+    def first_files(self, n: int) -> Table:
+        """The table of its first files alone."""
+        paths = [unquote(f) for f in self.files[:n]]
+        return replace(self, frame=self.frame.sparkSession.read.schema(self.frame.schema).parquet(*paths), footer=None)
+
+    @cached_property
+    def _file_starts(self) -> DataFrame:
+        """(file, before): the rows of the files before each one; counted once, from footers."""
+        counted = self.frame.select(F.col("_metadata.file_path").alias("file")).groupBy("file").count().collect()
+        rows, before = [], 0
+        for file, n in sorted(counted):
+            rows.append((file, before))
+            before += n
+        starts = self.frame.sparkSession.createDataFrame(rows, "file string, before long")
+        return F.broadcast(starts) if len(rows) <= MOST_FILES else starts
+
+    @cached_property
+    def _fixed(self) -> tuple[DataFrame, DataFrame]:
+        """A registered frame whose partitions stay, and (part, before) of them.
+
+        It is checkpointed where the session names a folder for that, else kept in memory.
+        """
+        spark = self.frame.sparkSession
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder:
+            spark.sparkContext.setCheckpointDir(folder)
+            frame = self.frame.checkpoint()
+        else:
+            frame = self.frame.persist()
+        rows, before = [], 0
+        for part, n in sorted(frame.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()):
+            rows.append((part, before))
+            before += n
+        return frame, F.broadcast(spark.createDataFrame(rows, "part int, before long"))
+
     def with_rowid(self, name: str) -> DataFrame:
-        """The frame with its row id as a further long column, in the order of the rows."""
-        key = self.stored_key
-        if key:
-            return self.frame.withColumn(name, F.col(f"`{key}`").cast("long"))
-        if not self.from_files:
-            return self.frame.withColumn(name, F.monotonically_increasing_id() + 1)
-        place = F.col("_metadata.row_index") + 1
-        if len(self.frame.inputFiles()) < 2:
-            return self.frame.withColumn(name, place)
-        # places go on from file to file, in the order of their paths
-        files = self.frame.groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.count(F.lit(1)).alias("_rows"))
-        earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-        files = files.select(F.col("_file"), F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
-        placed = self.frame.withColumns({"_path": F.col("_metadata.file_path"), name: place})
-        placed = placed.join(files, F.col("_path") == F.col("_file"))
-        return placed.withColumn(name, F.col(name) + F.col("_before")).drop("_path", "_file", "_before")
+        """The frame with its row id as a further long column.
+
+        Row ids without a key are 1, 2, ... in the order of the files' paths and
+        of the rows in them, or else of the partitions of a registered frame.
+        """
+        if self.stored_key:
+            return self.frame.withColumn(name, quoted(self.stored_key).cast("long"))
+        columns = [*self.frame.columns, name]
+        start, before = unused(columns, "start"), unused(columns, "before")
+        if self.from_files and len(self.files) < 2:
+            return self.frame.withColumn(name, F.col("_metadata.row_index") + 1)
+        if self.from_files:
+            found, starts = self.frame.withColumns({start: F.col("_metadata.file_path"), name: F.col("_metadata.row_index") + 1}), self._file_starts
+        else:
+            frame, starts = self._fixed
+            within = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1
+            found = frame.withColumns({start: F.spark_partition_id(), name: within})
+        starts = starts.toDF(f"{start}_", before)
+        found = found.join(starts, quoted(start) == quoted(f"{start}_"))
+        return found.withColumn(name, quoted(name) + quoted(before)).drop(start, f"{start}_", before)
 
 
 def quoted(name: str) -> Column:
@@ -128,19 +187,23 @@ class Catalog:
     def register(self, name: str, frame: DataFrame, key: str | None = None) -> Table:
         return self.add(Table(name, frame, key))
 
-    def register_parquet(self, name: str, path: str, key: str | None = None) -> Table:
-        """Files as a table; without ``key``, the key is what their metadata names, if any."""
+    def register_parquet(self, name: str, path: str, key: str | None = None, in_order: bool = False) -> Table:
+        """Files as a table; without ``key``, the key is what their metadata names, if any.
+
+        ``in_order`` says that rows stand by the key in the files; metadata may say it too.
+        """
         with _second_reader(self.spark):
             footer = self.spark.read.parquet(path)
         frame = self.spark.read.parquet(path)
         marked = lambda mark: [f.name for f in frame.schema.fields if (f.metadata or {}).get(mark)]
         key = key or next(iter(marked(KEY)), None)
-        return self.add(Table(name, frame, key, True, footer, tuple(sorted(marked(INDEXED)))))
+        in_order = in_order or (key or next(iter(marked(HIDDEN)), None)) in [*marked(SORTED), None]
+        return self.add(Table(name, frame, key, True, footer, tuple(sorted(marked(INDEXED))), in_order))
 
     def open(self, folder: str) -> list[str]:
         """Registers every ``<name>.parquet`` of a folder; their names."""
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path = jvm.org.apache.hadoop.fs.Path(folder)  # type: ignore[union-attr]
         found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path)
         names = sorted(f.getPath().getName() for f in found)
         tables = [n.removesuffix(".parquet") for n in names if n.endswith(".parquet")]

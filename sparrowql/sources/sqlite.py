@@ -19,9 +19,12 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from sparrowql.errors import SourceError, UnsupportedError
-from sparrowql.sources.catalog import DECLARED, HIDDEN, INDEXED, KEY, ROWID_NAMES
+from sparrowql.sources.catalog import DECLARED, HIDDEN, INDEXED, KEY, ROWID_NAMES, SORTED
 
-#: Row ids that one partition reads, and rows of one Arrow batch.
+CLASSES = ("integer", "real", "text", "blob")
+#: Columns whose classes one pass finds.
+PASS_COLUMNS = 300
+#: Rows that one partition reads, and rows of one Arrow batch.
 PARTITION_ROWS, BATCH_ROWS = 500_000, 20_000
 _TYPES = {"integer": T.LongType(), "real": T.DoubleType(), "text": T.StringType()}
 _ARROW = {"integer": pa.int64(), "real": pa.float64(), "text": pa.string()}
@@ -40,15 +43,14 @@ class Layout:
     key: str | None
     hidden: str | None
     indexes: tuple[str, ...]
-    low: int
-    high: int
+    ranges: tuple[tuple[int, int], ...]  # of row ids, with about as many rows each
 
     def schema(self) -> T.StructType:
         out = T.StructType()
         if self.hidden:
-            out = out.add(self.hidden, T.LongType(), False, {HIDDEN: True})
+            out = out.add(self.hidden, T.LongType(), False, {HIDDEN: True, SORTED: True})
         for column, kind, declared in self.columns:
-            marks = {DECLARED: declared} | ({KEY: True} if column == self.key else {}) | ({INDEXED: True} if column in self.indexes else {})
+            marks = {DECLARED: declared} | ({KEY: True, SORTED: True} if column == self.key else {}) | ({INDEXED: True} if column in self.indexes else {})
             out = out.add(column, _TYPES[kind], column != self.key, marks)
         return out
 
@@ -80,9 +82,10 @@ def _layout(con: sqlite3.Connection, table: str) -> Layout:
     hidden = None if key else next((n for n in ROWID_NAMES if n not in visible), None)
     if not key and not hidden:
         raise UnsupportedError(f"{table} hides its row id behind columns of its names")
+    classes = _classes(con, table, [r[1] for r in info])
     columns = []
     for _, column, declared, *_ in info:
-        found = {r[0] for r in con.execute(f"SELECT DISTINCT typeof({name(column)}) FROM {name(table)}")} - {"null"}
+        found = classes[column]
         if "blob" in found or len(found) > 1:
             raise UnsupportedError(f"{table}.{column} holds {' and '.join(sorted(found))}")
         columns.append((column, found.pop() if found else "integer", declared))
@@ -93,8 +96,21 @@ def _layout(con: sqlite3.Connection, table: str) -> Layout:
         if len(parts) == 1 and not partial and kinds.get(parts[0]) == "integer":
             indexes.append(parts[0])
     rowid = name(key or hidden or "rowid")
-    low, high = next(con.execute(f"SELECT min({rowid}), max({rowid}) FROM {name(table)}"))
-    return Layout(table, tuple(columns), key, hidden, tuple(sorted(set(indexes))), low if low is not None else 0, high if high is not None else -1)
+    ranges = con.execute(
+        f"SELECT min(r), max(r) FROM (SELECT {rowid} AS r, (row_number() OVER (ORDER BY {rowid}) - 1) / {PARTITION_ROWS} AS part FROM {name(table)}) GROUP BY part ORDER BY part"
+    )
+    return Layout(table, tuple(columns), key, hidden, tuple(sorted(set(indexes))), tuple(ranges))
+
+
+def _classes(con: sqlite3.Connection, table: str, columns: list[str]) -> dict[str, set[str]]:
+    """The classes of each column's cells but null, in one pass over the table (or one for every ``PASS_COLUMNS`` columns)."""
+    out: dict[str, set[str]] = {}
+    for k in range(0, len(columns), PASS_COLUMNS):
+        part = columns[k : k + PASS_COLUMNS]
+        tests = [f"max(typeof({name(c)}) = '{kind}')" for c in part for kind in CLASSES]
+        flags = iter(next(con.execute(f"SELECT {', '.join(tests)} FROM {name(table)}")))
+        out |= {c: {kind for kind in CLASSES if next(flags)} for c in part}
+    return out
 
 
 @dataclass
@@ -108,10 +124,7 @@ class _Reader(DataSourceReader):
         self.path, self.layout = path, layout
 
     def partitions(self) -> list[_Range]:
-        x = self.layout
-        n = max(1, min(10_000, -(-(x.high - x.low + 1) // PARTITION_ROWS)))
-        step = -(-max(1, x.high - x.low + 1) // n)
-        return [_Range(x.low + k * step, min(x.high, x.low + (k + 1) * step - 1)) for k in range(n)]
+        return [_Range(low, high) for low, high in self.layout.ranges]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:  # type: ignore[override]
         x = self.layout
@@ -150,4 +163,4 @@ def read_table(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
     """A table of the file, in partitions by row id."""
     spark.dataSource.register(SQLiteSource)
     df = spark.read.format("sqlite_table").option("path", path).option("table", layout.table).load()
-    return spark.createDataFrame([], layout.schema()) if layout.high < layout.low else df.to(layout.schema())
+    return spark.createDataFrame([], layout.schema()) if not layout.ranges else df.to(layout.schema())
