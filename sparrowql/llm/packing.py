@@ -9,8 +9,11 @@ many as fit at once. Each class becomes a few runs (bin, from rank, to rank),
 and a group finds its run by its rank in its class. Ranks are gapless row
 numbers made of salted parts, so no class, shard or group is one task's work.
 
-A group larger than half a bin's capacity is split by row: such a group could not
-enter any bin otherwise, or would leave bins uneven.
+Only a group that no shard can hold, as it is larger than an equal share of all
+bytes, is split, by row, into pieces of about an eighth of a share; every other
+group stays whole, and shards are as unequal as that makes them. A size over
+``EXACT`` counts as its class's upper bound, at most a thousandth more, so the
+order within a class is arbitrary and loads may differ by that share.
 
 Cases: a null text counts as empty, has size 1 and is in the group of the empty
 text; repeated rows and null ids are rows like any other; an empty table gives
@@ -156,16 +159,16 @@ def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.unhex(F.md5(text.cast("binary"))).alias("_key"),
+        F.monotonically_increasing_id().alias("_row"),  # fixed once the rows are written
     )
     rows = work.save(rows, "rows")
     n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    # hot groups are split into pieces of an eighth of a bin, by a hash of the id
-    piece_bytes = max(1, total // n_shards // 8)
-    hot = rows.groupBy("_key").agg(F.sum("size").alias("_bytes")).where(F.col("_bytes") > 4 * piece_bytes)
-    hot = hot.select(F.col("_key").alias("_hot"), F.ceil(F.col("_bytes") / piece_bytes).cast("int").alias("_pieces"))
-    # at most 2 * n_shards groups can be that large
+    share = max(1, -(-total // n_shards))
+    hot = rows.groupBy("_key").agg(F.sum("size").alias("_bytes")).where(F.col("_bytes") > share)
+    hot = hot.select(F.col("_key").alias("_hot"), F.ceil(F.col("_bytes") * 8 / share).cast("int").alias("_pieces"))
+    # fewer than n_shards groups can be that large
     rows = rows.join(F.broadcast(hot), F.col("_key") == F.col("_hot"), "left").withColumn(
-        "_piece", F.coalesce(F.pmod(F.xxhash64("_id"), F.col("_pieces")), F.lit(0)).cast("int")
+        "_piece", F.coalesce(F.pmod(F.xxhash64("_row"), F.col("_pieces")), F.lit(0)).cast("int")
     ).drop("_hot", "_pieces")
     groups = rows.groupBy("_key", "_piece").agg(F.sum("size").alias("_bytes"))
     groups = work.save(groups.withColumn("_class", size_class(F.col("_bytes"))), "groups")

@@ -58,7 +58,7 @@ def test_least_capacity():
 
 def test_shards(spark):
     rng = random.Random(3)
-    texts = [("é" if i % 2 else "x") * rng.randint(0, 300) for i in range(2000)] + ["hot copy " * 9] * 1000 + [None, "", "y" * 40000]
+    texts = [("é" if i % 2 else "x") * rng.randint(0, 300) for i in range(2000)] + ["hot copy " * 9] * 400 + [None, "", "y" * 40000]
     docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, size string")
     rows = shard(docs).collect()
     assert len(rows) == len(texts)
@@ -71,10 +71,33 @@ def test_shards(spark):
         where[texts[r.doc_id] or ""].add(r.shard)
     assert set(load) == set(range(8)) and max(load.values()) < 1.02 * min(load.values())
     assert all(sorted(x) == list(range(len(x))) for x in slots.values())
-    assert all(len(s) == 1 for t, s in where.items() if not t.startswith("hot"))
+    assert all(len(s) == 1 for s in where.values())  # the hot group fits into a shard
     assert shard(docs.limit(0)).count() == 0
 
 
+def test_only_groups_over_a_shard_are_split(spark):
+    """Groups of 0.3, 0.7 (two of them) and 1.4 of a shard, one of them under one id, amid small ones."""
+    share, rng = 100_000, random.Random(5)
+    groups = {"c" * 99: 0.3, "g" * 499: 0.7, "h" * 499: 0.7, "o" * 199: 1.4}
+    texts = [t for t, part in groups.items() for _ in range(int(part * share / (len(t) + 1)))]
+    texts += [f"{k}".ljust(rng.randint(20, 400), "s") for k in range(5000)]
+    total = 0
+    for n, t in enumerate(texts):
+        total += len(t) + 1
+        if total >= 8 * share:
+            break
+    texts = texts[: n + 1]
+    ids = [7 if t.startswith("o") else k for k, t in enumerate(texts)]
+    rows = shard(spark.createDataFrame([(i, t) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string")).collect()
+    of, load, crc = defaultdict(set), Counter(), {zlib.crc32(t.encode()): t for t in texts}
+    for r in rows:
+        of[crc[r.text_crc32]].add(r.shard)
+        load[r.shard] += r["size"]
+    assert {t[0]: len(s) for t, s in of.items() if t in groups and len(s) > 1}.keys() == {"o"}
+    assert all(len(s) == 1 for t, s in of.items() if t[0] != "o")
+    assert len(rows) == len(texts) and max(load.values()) < 1.01 * min(load.values())
+
+
 def test_repeated_rows_and_gapless(spark):
     docs = spark.createDataFrame([(1, "a")] * 5 + [(None, None)] * 3, "doc_id long, text string")
     rows = shard(docs).collect()
