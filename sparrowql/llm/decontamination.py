@@ -1,8 +1,8 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH.
 
 A document holds an item if some part of it is within ``edit_bound`` word edits
-of the item (a fifth of its words), or, as typing errors touch many words, within
-half of its words and a fifth of its characters. Words are lower-cased runs of ``\\w``.
+of the item (a fifth of its words). Words are lower-cased runs of ``\\w``; of an item's
+places in a text that of the least distance counts, and of these the first.
 
 1. Windows: of an item of n words with at most E edits, one of E + 1 equal
    pieces stays intact, so every true window holds a gram of n // (E + 1) words
@@ -15,10 +15,11 @@ half of its words and a fifth of its characters. Words are lower-cased runs of `
    a candidate for each item with which it agrees on one sample.
 4. Candidates are verified by exact banded edit distance.
 
-Items are read in blocks of at most ``BLOCK_BYTES`` of text, each of which goes
-to the tasks whole; documents are only mapped. Null or wordless items and texts
-match nothing; repeated rows and null ids are judged like any other; empty
-tables give empty results.
+Items are cut into blocks of about ``BLOCK_BYTES`` of text, which are broadcast;
+a task holds one block at a time and takes its texts through all of them, so
+documents are only mapped, once for each ``SCAN_BYTES`` of benchmark. Null or
+wordless items and texts match nothing; repeated items each match; repeated rows
+and null ids are judged like any other; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -28,20 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from sparrowql.llm.passages import Seeds, Vocabulary, align, fit_distances, gram_hashes, joined, word_spans, words
+from sparrowql.llm.passages import Seeds, Vocabulary, align, fit_distances, gram_hashes, joined, part_of, word_spans, words
 from sparrowql.llm.shared import slices, with_fields
 
 #: Share of an item's words that edits may touch.
 EDITS = 0.2
-#: Share of an item's words within which its characters are compared too.
-LOOSE = 0.5
 EMBEDDINGS, REPEATS, SAMPLED = 4, 24, 3
-#: Text of the items that one pass sends to every task.
-BLOCK_BYTES = 4_000_000
+#: Text of a block of items, text of all blocks that are broadcast for one scan, and text that a task takes through several blocks at once.
+BLOCK_BYTES, SCAN_BYTES, PART_BYTES = 4_000_000, 128_000_000, 32_000_000
 #: Rows of matrices at once.
 ROWS = 20_000
 
@@ -118,7 +118,7 @@ class Items:
         """text -> item -> (distance, first word, end word) of the best window."""
         codes = [self.vocabulary.encode(words(text)) for text in texts]
         x, ends = joined(codes)
-        windows = [seeds.starts(x, ends) for seeds in self.seeds]
+        windows = [seeds.starts(x, ends)[0] for seeds in self.seeds]
         out: dict[int, dict[int, tuple[int, int, int]]] = defaultdict(dict)
         if not windows:
             return out
@@ -127,20 +127,12 @@ class Items:
         for n in np.unique(size):
             part = w[size == n]
             for k in range(0, len(part), ROWS):
-                self._verify(codes, texts, *self._candidates(codes, part[k : k + ROWS], int(n)), out)
-        return out
-
-    def _slice(self, code: np.ndarray, start: int, end: int) -> np.ndarray:
-        """Words start to end of a text, -1 outside it."""
-        out = np.full(end - start, -1)
-        first, last = max(start, 0), min(end, len(code))
-        if last > first:
-            out[first - start : last - start] = code[first:last]
+                self._verify(codes, *self._candidates(codes, part[k : k + ROWS], int(n)), out)
         return out
 
     def _candidates(self, codes: list[np.ndarray], windows: np.ndarray, n: int) -> tuple[np.ndarray, int]:
         """Rows (text, item, start) of which a key is in the item's bucket."""
-        x = np.stack([self._slice(codes[d], s, s + n) for d, _, s in windows.tolist()])
+        x = np.stack([part_of(codes[d], s, s + n) for d, _, s in windows.tolist()])
         keys = lsh_keys(x, np.full(len(x), n))
         low = np.searchsorted(self.buckets, keys.ravel())
         high = np.searchsorted(self.buckets, keys.ravel(), side="right")
@@ -151,39 +143,47 @@ class Items:
         pairs = np.unique(np.stack([row[same], self.bucket_items[entry[same]]], axis=1), axis=0)
         return np.stack([windows[pairs[:, 0], 0], pairs[:, 1], windows[pairs[:, 0], 2]], axis=1), n
 
-    def _verify(self, codes: list[np.ndarray], texts: list[str], pairs: np.ndarray, n: int, out: dict) -> None:
+    def _verify(self, codes: list[np.ndarray], pairs: np.ndarray, n: int, out: dict) -> None:
         bound = edit_bound(n)
         for k in range(0, len(pairs), ROWS):
             part = pairs[k : k + ROWS]
             items = np.stack([self.codes[p] for p in part[:, 1].tolist()])
-            around = np.stack([self._slice(codes[d], s - bound, s + n + bound) for d, _, s in part.tolist()])
-            distance, _ = fit_distances(items, around)
-            loose = distance <= max(bound, int(n * LOOSE))
-            for (d, p, s), far in sorted(zip(part[loose].tolist(), distance[loose].tolist(), strict=True), key=lambda x: x[1]):
-                if p in out[d] and far >= out[d][p][0]:
-                    continue
-                first = max(0, s - bound)
-                if far > bound and not self._same_characters(p, words(texts[d])[first : s + n + bound]):
-                    continue
-                _, _, a, b = align(self.codes[p].tolist(), codes[d][first : s + n + bound].tolist())
-                out[d][p] = (far, first + a, first + b)
-
-    def _same_characters(self, p: int, around: list[str]) -> bool:
-        """Whether some part of the words is within a fifth of the item's characters."""
-        item = " ".join(self.tokens[p])
-        points = lambda text: np.frombuffer(text.encode("utf-32-le"), np.int32)[None, :]
-        distance, _ = fit_distances(points(item), points(" ".join(around)))
-        return bool(distance[0] <= len(item) * EDITS)
-
-
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[object, str]]]:
-    """The items in blocks of about ``block_bytes`` at most, by a hash of the text."""
+            distance = fit_distances(items, np.stack([part_of(codes[d], s - bound, s + n + bound) for d, _, s in part.tolist()]))
+            near = distance <= bound
+            for (d, p, s), far in sorted(zip(part[near].tolist(), distance[near].tolist(), strict=True), key=lambda x: (x[1], x[0][2])):
+                if p not in out[d] or far < out[d][p][0]:
+                    _, _, first, end = align(self.codes[p], codes[d], s - bound, s + bound)
+                    out[d][p] = (far, max(0, first), min(end, len(codes[d])))
+
+
+def _scans(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int, scan_bytes: int) -> Iterator[list[Broadcast]]:
+    """The items in blocks by a hash of the text, as many at a time as one scan takes."""
+    spark = benchmark.sparkSession
     items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     n = -(-total // block_bytes)
-    for k in range(n):
-        block = items.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k) if n > 1 else items
-        yield [(r.i, r.t) for r in block.collect()]
+    together = max(1, scan_bytes // block_bytes)
+    for first in range(0, n, together):
+        blocks = []
+        for k in range(first, min(n, first + together)):
+            block = items.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k) if n > 1 else items
+            blocks.append(spark.sparkContext.broadcast(Items([(r.i, r.t) for r in block.collect()])))
+        yield blocks
+
+
+def _found(parts: Iterator[pa.RecordBatch], text_col: str, blocks: list[Broadcast]) -> Iterator[tuple[pa.RecordBatch, list[str], dict[int, list]]]:
+    """(slice, its texts, text -> (item, its words, distance, first word, end word)) of all blocks."""
+    for batch in parts:
+        for part in slices(batch, text_col, PART_BYTES if len(blocks) > 1 else 4_000_000):
+            texts = [t or "" for t in part.column(text_col).to_pylist()]
+            found: dict[int, list] = defaultdict(list)
+            for block in blocks:
+                items = block.value
+                for d, places in items.find(texts).items():
+                    found[d] += [(items.names[p], len(items.codes[p]), *place) for p, place in sorted(places.items())]
+                if len(blocks) > 1:
+                    vars(block).pop("_value", None)  # else a worker would keep every block
+            yield part, texts, found
 
 
 def contaminated(
@@ -194,46 +194,45 @@ def contaminated(
     item_col: str = "item_id",
     item_text_col: str = "text",
     block_bytes: int = BLOCK_BYTES,
+    scan_bytes: int = SCAN_BYTES,
 ) -> DataFrame:
     """A row for each document and item that it holds.
 
     Columns: the ids, ``edits``, ``item_words``, ``start`` and ``end`` (code
     points of the best place).
     """
-    schema = with_fields(docs.select(id_col).schema)
     item_kind = benchmark.schema[item_col].dataType
-    schema = schema.add(item_col, item_kind)
+    schema = with_fields(docs.select(id_col).schema).add(item_col, item_kind)
     schema = with_fields(schema, edits="int", item_words="int", start="int", end="int")
-    out = docs.sparkSession.createDataFrame([], schema)
-    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
-
-        def run(batches: Iterator[pa.RecordBatch], items=Items(block)) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch, text_col):
-                    texts = [t or "" for t in part.column(text_col).to_pylist()]
-                    rows, found = [], items.find(texts)
-                    for d in sorted(found):
-                        spans = word_spans(texts[d])
-                        rows += [(d, items.names[p], far, len(items.codes[p]), spans[a][0], spans[b - 1][1]) for p, (far, a, b) in sorted(found[d].items()) if b > a]
+    kinds = [to_arrow_type(item_kind), *[pa.int32()] * 4]
+    out = None
+    for blocks in _scans(benchmark, item_col, item_text_col, block_bytes, scan_bytes):
+
+        def run(batches: Iterator[pa.RecordBatch], blocks=blocks) -> Iterator[pa.RecordBatch]:
+            for part, texts, found in _found(batches, text_col, blocks):
+                rows = []
+                for d in sorted(found):
+                    spans = word_spans(texts[d])
+                    rows += [(d, name, far, n, spans[a][0], spans[b - 1][1]) for name, n, far, a, b in found[d] if b > a]
+                if rows:
                     ids = part.column(id_col).take(pa.array([r[0] for r in rows], pa.int64()))
-                    kinds = [to_arrow_type(item_kind), *[pa.int32()] * 4]
                     columns = [ids, *[pa.array([r[k + 1] for r in rows], t) for k, t in enumerate(kinds)]]
-                    if rows:
-                        yield pa.RecordBatch.from_arrays(columns, schema.names)
+                    yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-        out = out.union(docs.select(id_col, text_col).mapInArrow(run, schema))
-    return out
+        one = docs.select(id_col, text_col).mapInArrow(run, schema)
+        out = one if out is None else out.union(one)
+    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def clean(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, scan_bytes: int = SCAN_BYTES
+) -> DataFrame:
     """The input rows that hold no item."""
-    for block in _blocks(benchmark, item_text_col, item_text_col, block_bytes):
+    for blocks in _scans(benchmark, item_text_col, item_text_col, block_bytes, scan_bytes):
 
-        def run(batches: Iterator[pa.RecordBatch], items=Items(block)) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch, text_col):
-                    found = items.find([t or "" for t in part.column(text_col).to_pylist()])
-                    yield part.filter(pa.array([not found.get(d) for d in range(part.num_rows)]))
+        def run(batches: Iterator[pa.RecordBatch], blocks=blocks) -> Iterator[pa.RecordBatch]:
+            for part, _, found in _found(batches, text_col, blocks):
+                yield part.filter(pa.array([not found.get(d) for d in range(part.num_rows)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

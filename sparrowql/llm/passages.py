@@ -1,4 +1,9 @@
-"""Words with their places, seeds of known passages, and banded alignment."""
+"""Words with their places, seeds of known passages, and banded alignment.
+
+Shared by the operators that look for known passages. Texts without a word have
+no place, repeated passages and words are found each, and of places that are
+equally good the first is taken.
+"""
 
 from __future__ import annotations
 
@@ -64,13 +69,13 @@ class Seeds:
         self.passage = np.array([e[1] for e in entries], np.int64)
         self.offset = np.array([e[2] for e in entries], np.int64)
 
-    def starts(self, x: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Distinct (text, passage, start of the passage in the text) that grams point to.
+    def starts(self, x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (text, passage, start of the passage in the text) that grams point to, and how many do.
 
         ``x``: word numbers of texts, each followed by a 0; ``ends``: where each ends in x.
         """
         if len(x) < self.k or not len(self.hashes):
-            return np.zeros((0, 3), np.int64)
+            return np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
         known = x > 0
         run = known[: len(x) - self.k + 1].copy()
         for i in range(1, self.k):
@@ -90,7 +95,7 @@ class Seeds:
         text = np.searchsorted(ends, at, side="right")
         begin = np.concatenate([[0], ends + 1])[text]
         found = np.stack([text, self.passage[entry], at - self.offset[entry] - begin], axis=1)
-        return np.unique(found, axis=0)
+        return np.unique(found, axis=0, return_counts=True)
 
 
 def joined(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -100,42 +105,56 @@ def joined(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([part for c in codes for part in (c, zero)]) if codes else zero[:0], ends
 
 
-def fit_distances(items: np.ndarray, slices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word edit distance of each item to the best part of its slice, and where that part ends.
+def part_of(code: np.ndarray, start: int, end: int) -> np.ndarray:
+    """Words start to end of a text, -1 outside it."""
+    out = np.full(end - start, -1, np.int64)
+    first, last = max(start, 0), min(end, len(code))
+    if last > first:
+        out[first - start : last - start] = code[first:last]
+    return out
+
+
+def fit_distances(items: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Word edit distance of each item to the best piece of its part, within a band.
+
+    Rows belong together. A part has ``2 * band`` words more than its item; an
+    alignment may start at its words 0 to 2 * band, and only these diagonals are
+    computed. So every distance up to ``band`` from the middle one is exact, and
+    no distance is too small.
+    """
+    n, width = items.shape[1], parts.shape[1] - items.shape[1] + 1
+    step = np.arange(width, dtype=np.int32)
+    row = np.zeros((len(items), width), np.int32)
+    for i in range(n):
+        new = row + (parts[:, i : i + width] != items[:, i : i + 1])
+        np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])  # an item's word is left out
+        row = np.minimum.accumulate(new - step, axis=1) + step  # words of the part are left out
+    return row.min(axis=1)
+
+
+def align(item: np.ndarray, code: np.ndarray, low: int, high: int) -> tuple[int, list[int], int, int]:
+    """(distance, matched positions, start, end) of the best fit of item in a text, on diagonals low to high.
 
-    Rows of items and slices belong together. A slice is the item's window with
-    the edit bound on either side, so the rows are the band.
+    A diagonal is the position of an alignment less that in the item.
     """
-    n, m = items.shape[1], slices.shape[1]
-    step = np.arange(m + 1)
-    row = np.zeros((len(items), m + 1), np.int32)
+    n, width = len(item), high - low + 1
+    around = part_of(code, low, high + n)
+    step = np.arange(width, dtype=np.int32)
+    rows = np.zeros((n + 1, width), np.int32)
     for i in range(n):
-        change = (slices != items[:, i : i + 1]).astype(np.int32)
-        new = np.empty_like(row)
-        new[:, 0] = i + 1
-        new[:, 1:] = np.minimum(row[:, :-1] + change, row[:, 1:] + 1)
-        row = np.minimum.accumulate(new - step, axis=1) + step
-    return row.min(axis=1), row.argmin(axis=1)
-
-
-def align(item: list[int], part: list[int]) -> tuple[int, list[int], int, int]:
-    """(distance, matched positions of part, start, end) of the best fit of item in part."""
-    m = len(part)
-    rows = [[0] * (m + 1)]
-    for i, a in enumerate(item):
-        last, row = rows[-1], [i + 1]
-        for j, b in enumerate(part):
-            row.append(min(last[j] + (a != b), last[j + 1] + 1, row[j] + 1))
-        rows.append(row)
-    end = min(range(m + 1), key=lambda j: (rows[-1][j], j))
-    i, j, matched = len(item), end, []
+        new = rows[i] + (around[i : i + width] != item[i])
+        np.minimum(new[:-1], rows[i, 1:] + 1, out=new[:-1])
+        rows[i + 1] = np.minimum.accumulate(new - step) + step
+    d = int(rows[n].argmin())
+    distance, end, i, matched = int(rows[n, d]), n + low + d, n, []
     while i:
-        if j and rows[i][j] == rows[i - 1][j - 1] + (item[i - 1] != part[j - 1]):
-            i, j = i - 1, j - 1
-            if item[i] == part[j]:
-                matched.append(j)
-        elif rows[i][j] == rows[i - 1][j] + 1:
+        same = around[i - 1 + d] == item[i - 1]
+        if rows[i, d] == rows[i - 1, d] + (not same):
             i -= 1
+            if same:
+                matched.append(i + low + d)
+        elif d + 1 < width and rows[i, d] == rows[i - 1, d + 1] + 1:
+            i, d = i - 1, d + 1
         else:
-            j -= 1
-    return rows[-1][end], matched[::-1], j, end
+            d -= 1
+    return distance, matched[::-1], low + d, end
