@@ -1,23 +1,40 @@
 """Secret scans: fixed patterns, and dictionary-primed zstandard novelty.
 
 Base kinds are ``assign``, ``access`` and ``hex`` (patterns below). The method
-adds ``novel`` spans: a candidate is a long token beside a sensitive word. Its
-marginal size is the compressed size of its surroundings with it, less that of
-the surroundings alone, under a zstandard dictionary of code and identifiers.
-A token whose marginal bytes a character reach ``NOVELTY`` doesn't follow from
-its surroundings or from names in use, and is reported unless a base span
-overlaps it.
-
-Null texts count as empty. The operator is a map over rows: every row stays,
-repeats and null ids included, and nothing is shuffled. Whole texts are scanned;
-the surroundings are the ``CONTEXT`` characters on each side of a candidate.
+adds ``novel`` spans: a candidate is a long run that mixes letters and digits,
+within ``REACH`` characters of a sensitive word on either side. Its marginal size is
+the compressed size of its surroundings with it in its place, less that without
+it, under a zstandard dictionary. Other copies of it are blanked out in the
+surroundings, so a repeated secret stays novel. The size is measured against that of
+``REFERENCES`` random strings of the same shape (letters for letters, digits for
+digits; hex digits for hex) in the same place: names follow from the dictionary and
+from names in use and take a smaller share, keys as much. A share of ``NOVELTY``
+is reported, and of ``NOVELTY_OF_WORDS`` if the run is made of long words;
+base spans that overlap go first.
+
+The dictionary is trained on the driver from a bounded sample of code and
+identifiers: the Python sources of the installed PySpark and of the standard
+library (``SAMPLE_FILES``, ``SAMPLE_CHARACTERS``), case folded as all that is measured.
+
+Null texts count as empty, and so do texts without a sensitive word for the method. The
+operator is a map over rows: every row stays, repeats and null ids included, nothing
+is shuffled, and an empty table gives an empty table. Whole texts are scanned; the
+surroundings are the ``CONTEXT`` characters on each side of a candidate.
 """
 
 from __future__ import annotations
 
 import hashlib
+import importlib.util
+import os
+import random
 import re
+import zlib
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -40,35 +57,69 @@ SENSITIVE = re.compile(
     r"(?:passw|passphrase|pwd|secret|token|api[-_]?key|access[-_]?key|private[-_]?key|auth|bearer|credential|signature|client[-_]?id|connection[-_]?string)",
     re.IGNORECASE | re.ASCII,
 )
-#: What a candidate looks like: a long run without spaces that mixes kinds of characters.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
+#: What a candidate looks like: a long run without spaces, with padding, that mixes letters and digits.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.~-]{16,}={0,2}")
 #: Characters between a sensitive word and a candidate, and of surroundings on each side.
 REACH, CONTEXT = 64, 256
-#: Marginal compressed bytes a character: random hex has about 0.5 and base64 0.75, names and words far less.
-NOVELTY = 0.5
-
-#: Identifiers and code that prime the compressor, the commonest last.
-DICTIONARY = """
-class function return import export default const static public private protected void string integer boolean
-password passwd secret token api_key apikey access_key private_key client_id client_secret authorization bearer
-username hostname database connection_string localhost example.com https://www. http:// .json .yaml .html .js
-getElementById addEventListener setAttribute toString valueOf hashCode equals length configuration environment
-development production staging request response session cookie header content-type application/json charset=utf-8
-self.assertEqual(self. def __init__(self, for i in range(len( if __name__ == "__main__": System.out.println(
-process.env. os.environ[ os.getenv( config.get( settings. 0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ
-""".encode()
+#: Least share of a random string's marginal size, and that of runs of words over WORD characters on average.
+NOVELTY, NOVELTY_OF_WORDS, WORD = 0.87, 0.97, 5
+REFERENCES, LEVEL = 4, 3
+#: Bounds of the dictionary's sample: files, characters of each, sampled lines; and the dictionary's bytes.
+SAMPLE_FILES, SAMPLE_CHARACTERS, SAMPLE_LINES, DICTIONARY_BYTES = 160, 40_000, 12_000, 65_536
+_RUN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_HEX_RUN = re.compile(r"[0-9a-f-]+")
+
+
+def _sources() -> list[str]:
+    """The bounded sample: sources of PySpark and of the standard library, in the order of their paths."""
+    pyspark, library = Path(next(iter(importlib.util.find_spec("pyspark").submodule_search_locations))), Path(os.__file__).parent  # type: ignore[union-attr, arg-type]
+    files = [*sorted(pyspark.glob("*.py")), *sorted(pyspark.glob("sql/*.py")), *sorted(library.glob("*.py"))]
+    step = max(1, len(files) // SAMPLE_FILES)
+    return [f.read_text(encoding="utf-8", errors="replace")[:SAMPLE_CHARACTERS].lower() for f in files[::step]]
+
+
+@lru_cache(maxsize=1)
+def dictionary() -> tuple[bytes, str]:
+    """A trained dictionary, and common words that precede what is measured, so that short surroundings count like long ones."""
+    sources = _sources()
+    counts = Counter(w for text in sources for w in re.findall(r"[a-z]{3,}", text))
+    words = [w for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if n > 1]
+    lines = sorted({line.strip() for text in sources for line in text.split("\n") if len(line.strip()) > 12})
+    rng = random.Random(1)
+    samples = [f"{w}_".encode() for w in words] + [line.encode() for line in rng.sample(lines, min(SAMPLE_LINES, len(lines)))]
+    rng.shuffle(samples)
+    return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=64, d=8).as_bytes(), " ".join(words[:400:7]) + "\n"
 
 
 class Novelty:
-    def __init__(self, dictionary: bytes = DICTIONARY):
-        primed = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.compressor = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False)
+    def __init__(self, trained: tuple[bytes, str]):
+        primed = zstandard.ZstdCompressionDict(trained[0], dict_type=zstandard.DICT_TYPE_FULLDICT)
+        self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=primed, write_content_size=False, write_dict_id=False)
+        self.before = trained[1]
+
+    def _size(self, text: str) -> int:
+        return len(self.compressor.compress((self.before + text).lower().encode("utf-8", "surrogatepass")))
+
+    def share(self, text: str, start: int, end: int) -> float:
+        """Bytes that text[start:end] adds to its surroundings, over those that random strings of its shape add there."""
+        token = text[start:end]
+        before, after = (x.replace(token, "") for x in (text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]))
+        alone = self._size(before + after)
+        rng = random.Random(zlib.crc32(token.encode()))
+        hex_ = _HEX_RUN.fullmatch(token.lower())
+
+        def alike(c: str) -> str:
+            if hex_:
+                return rng.choice("0123456789abcdef") if c.isalnum() else c
+            return rng.choice("abcdefghijklmnopqrstuvwxyz") if c.isalpha() else rng.choice("0123456789") if c.isdigit() else c
 
-    def marginal(self, text: str, start: int, end: int) -> float:
-        """Compressed bytes that text[start:end] adds to its surroundings, a character."""
-        before, after = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
-        around = (before + after).encode()
-        return (len(self.compressor.compress(around + text[start:end].encode())) - len(self.compressor.compress(around))) / (end - start)
+        random_ = [self._size(before + "".join(map(alike, token)) + after) - alone for _ in range(REFERENCES)]
+        return (self._size(before + token + after) - alone) * REFERENCES / max(1, sum(random_))
+
+    def reported(self, text: str, start: int, end: int) -> bool:
+        token = text[start:end]
+        made_of_words = len(_RUN.findall(token)) * WORD < len(token)
+        return self.share(text, start, end) >= (NOVELTY_OF_WORDS if made_of_words else NOVELTY)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -102,15 +153,16 @@ def mixed(token: str) -> bool:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
-    out, done = [], 0
-    for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, max(done, word.end()), word.end() + REACH):
-            # the window may cut a token: take it to its end
-            start, end = m.start(), CANDIDATE.match(text, m.start()).end()  # type: ignore[union-attr]
-            done = end
-            if mixed(text[start:end]) and not any(a < end and start < b for a, _, b in base):
-                if novelty.marginal(text, start, end) >= NOVELTY:
-                    out.append((start, 3, end))
+    words = [m.span() for m in SENSITIVE.finditer(text)]
+    if not words:
+        return []
+    starts, ends, out = [a for a, _ in words], [b for _, b in words], []
+    for m in CANDIDATE.finditer(text):
+        start, end = m.span()
+        before, after = bisect_right(ends, start) - 1, bisect_left(starts, end)  # sensitive words next to it, not within
+        near = before >= 0 and start - ends[before] <= REACH or after < len(words) and starts[after] - end <= REACH
+        if near and mixed(m[0]) and not any(a < end and start < b for a, _, b in base) and novelty.reported(text, start, end):
+            out.append((start, 3, end))
     return out
 
 
@@ -139,8 +191,10 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         docs.select(id_col).schema, n_assign="long", n_access="long", n_hex="long", base_sha256="string", spans="string", n_novel="long"
     )
 
+    trained = dictionary()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty()
+        novelty = Novelty(trained)
         for batch in batches:
             for part in slices(batch, text_col):
                 counts, digests, spans = [], [], []
@@ -161,8 +215,10 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
     """The input rows with every span replaced by ``mark`` and the length column set anew; null texts stay null."""
     schema = docs.schema
 
+    trained = dictionary()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty()
+        novelty = Novelty(trained)
         for batch in batches:
             for part in slices(batch, text_col):
                 old = part.column(text_col).to_pylist()
