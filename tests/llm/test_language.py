@@ -53,12 +53,43 @@ def test_code_switched_words():
     assert right >= 0.95 * len(gold)
 
 
+def test_long_chains_go_in_blocks(monkeypatch):
+    rng = random.Random(5)
+    model = L.fit([(k, body(rng, k, 40)) for k in SYLLABLES for _ in range(60)])
+    texts = [body(rng, "en", 500) + " " + body(rng, "fr", 300), body(rng, "de", 3), body(rng, "de", 40)]
+    want = {i: m / m.sum() for i, m in model.masses([L.letters(t) for t in texts])}
+    for cells in (3 * 700, 200, 3):
+        monkeypatch.setattr(L, "CELLS", cells)
+        got = {i: m / m.sum() for i, m in model.masses([L.letters(t) for t in texts])}
+        assert all(np.allclose(got[i], want[i], atol=1e-4) for i in range(3))
+
+
+def test_whole_runs_count():
+    assert L.letters("a" * 70 + "Bc") == ["a" * 32, "a" * 32, "a" * 6 + "bc"]
+    rng = random.Random(6)
+    model = L.fit([(k, body(rng, k, 40)) for k in ("de", "fr") for _ in range(60)])
+    glued = body(rng, "de", 12).replace(" ", "")[:45] + body(rng, "fr", 400).replace(" ", "")
+    assert model.predict([glued])[0] == ["fr"]
+
+
+def test_no_language_is_left_out(spark, monkeypatch):
+    monkeypatch.setattr(L, "WEIGHTS", 1 << 18)
+    names = [f"l{k}" for k in range(420)]
+    rows = [(i, f"{chr(0x4E00 + i % 420) * 3} " * 9, names[i % 420]) for i in range(420 * 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    pieces = L.training_pieces(docs.union(docs), "doc_id", "text", "lang")
+    assert {k for k, _ in pieces} == set(names) and len(pieces) == len(set(pieces))
+    model = L.fit(pieces)
+    assert model.labels == sorted(names) and len(model.weights) == 1024
+    assert model.predict([f"{chr(0x4E00 + 417) * 3} " * 9])[0] == ["l417"]
+
+
 def test_frames_and_held_out_accuracy(spark):
     rng = random.Random(4)
     langs = [rng.choice(list(SYLLABLES)) for _ in range(600)]
     rows = [(i, body(rng, k, rng.randint(5, 80)), k, 1) for i, k in enumerate(langs)]
     extra = [(None, "the thing", None, 1), (700, None, "en", 1), (701, "12 ² --", "en", 1), (702, "", None, 1), rows[0], (703, "thing " * 9000, None, 1)]
-    docs = spark.createDataFrame(rows + extra, "doc_id long, text string, lang string, score int")
+    docs = spark.createDataFrame(rows + extra, "doc_id long, text string, lang string, score int").selectExpr("*", "1 AS id", "2 AS held", "3 AS share", "4 AS place")
     got = L.language_id(docs).collect()
     assert len(got) == 606 and all(0 <= r.score <= 1 for r in got)
     held = [r for r in got if r.held_out and r.doc_id < 600]
