@@ -30,13 +30,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowql.llm.graph import connected_components
+from sparrowql.llm.graph import connected_components, forest
 from sparrowql.llm.shared import Workspace, slices, unique_name, with_fields
 
 RADIUS = 3
 PIVOTS = 24
 #: Points of a cell that are compared in one task.
 MAX_CELL = 1000
+#: Ids of dropped rows that are broadcast at most; beyond that a plain join drops them.
+MOST_GONE = 1_000_000
 SEED = 42
 
 
@@ -77,23 +79,6 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least node of each node's component."""
-    label = np.arange(n)
-    while len(i):
-        low = np.minimum(label[i], label[j])
-        np.minimum.at(label, label[i], low)
-        np.minimum.at(label, label[j], low)
-        while True:
-            up = label[label]
-            if (up == label).all():
-                break
-            label = up
-        open_ = label[i] != label[j]
-        i, j = i[open_], j[open_]
-    return label
-
-
 def linked_pairs(fps: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Of the pairs (i, j), those that the pivot table can't discard and that link."""
     for column in table:
@@ -241,8 +226,11 @@ def survivors(docs: DataFrame, marked: DataFrame, classes: DataFrame, mark: Call
     ``marked`` and ``classes`` are as of ``_classes``; ``mark`` gives a text's _fp.
     """
     key, fp = unique_name(docs.columns, "_keep"), unique_name(docs.columns, "_fp")
-    keep = classes.where("_component is not null").select(F.col("_component").alias(key)).distinct()
-    kept = docs.join(keep, F.col(id_col) == F.col(key), "left_semi")
+    named = marked.where(F.col(id_col).isNotNull()).join(classes, F.col("_fp") == F.col("fp"))
+    gone = named.where(F.col(id_col) != F.col("_component")).select(F.col(id_col).alias(key)).distinct()
+    if gone.count() <= MOST_GONE:  # texts needn't move
+        gone = F.broadcast(gone)
+    kept = docs.where(F.col(id_col).isNotNull()).join(gone, F.col(id_col) == F.col(key), "left_anti")
     # rows that their ids don't name are chosen by class
     nameless = docs.where(F.col(id_col).isNull())
     repeated = marked.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(key)).count().where("count > 1").select(key)

@@ -68,6 +68,31 @@ def test_cells_join_families_and_cross_batches(spark):
     assert kept == sorted(want.index(c) for c in set(want))
 
 
+def test_blocks_lose_no_link(spark, monkeypatch):
+    """Small cells and blocks, so that families go through many of them, and no stars that join them before."""
+    texts = near_copies(random.Random(6))[:140] + near_copies(random.Random(7))[-30:]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for name, value in {"CELL": 3, "BLOCK_POINTS": 2, "PAIRS": 5, "COLUMNS": 64, "WANTED": 0}.items():
+        monkeypatch.setattr(J, name, value)
+    monkeypatch.setattr(J, "_verified", lambda pairs, *rest: pairs.limit(0))
+    want = brute_classes(texts)
+    assert sorted(r.doc_id for r in J.near_dedup(docs).collect()) == sorted(want.index(c) for c in set(want))
+
+
+def test_long_fingerprints_keep_linked_pairs():
+    """Of pairs at a similarity just over 0.8 all stay within the radius, and half-similar ones mostly don't."""
+    rng = random.Random(9)
+    far = {0.8: [], 0.45: []}
+    for similarity, found in far.items():
+        for _ in range(300):
+            n = rng.randint(J.SURE, 900)
+            same = int(n * 2 * similarity / (1 + similarity)) + 1
+            a, b = (J.shingles(" ".join(f"{side if k >= same else ''}{k}v{n}" for k in range(n))) for side in "xy")
+            a, b = a[rng.randrange(2) :], b
+            found.append(sum(int(x).bit_count() for x in J.long_fingerprint(a) ^ J.long_fingerprint(b)))
+    assert max(far[0.8]) <= J.RADIUS - 8 and sum(x > J.RADIUS for x in far[0.45]) > 100
+
+
 def test_cases(spark):
     docs = spark.createDataFrame([(None, "one two"), (None, "One  two"), (3, None), (2, ""), (5, "x y z")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, (r.text or "").lower().split()) for r in J.near_dedup(docs).collect()) == [(0, ["one", "two"]), (2, []), (5, ["x", "y", "z"])]

@@ -5,6 +5,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
+from sparrowql.llm import graph
 from sparrowql.llm import simhash as S
 from sparrowql.llm.graph import connected_components
 from sparrowql.llm.shared import Workspace
@@ -70,10 +71,14 @@ def test_links_are_complete(spark, monkeypatch):
         assert len(set(names.values())) == len(names)
 
 
-def test_components_of_a_long_path(spark):
+def test_components_of_a_long_path(spark, monkeypatch):
     edges = spark.range(120).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    got = connected_components(edges, Workspace(spark, "test")).collect()
-    assert len(got) == 121 and {r.component for r in got} == {0}
+    edges = edges.union(edges.select("b", "a")).union(spark.range(200, 202).select("id", "id"))
+    for few in (1000, 0):
+        monkeypatch.setattr(graph, "FEW_EDGES", few)
+        got = connected_components(edges, Workspace(spark, "test")).collect()
+        assert sorted(r.node for r in got) == list(range(121)) and {r.component for r in got} == {0}
+        assert connected_components(edges.limit(0), Workspace(spark, "test")).count() == 0
 
 
 def test_documents(spark):
