@@ -9,9 +9,9 @@ import corpus_pipeline
 from sparrowql.llm import decontamination as D
 from sparrowql.llm.passages import words
 from tests.llm.test_decontamination import fit
+from tests.llm.test_jaccard import brute_classes
 from tests.llm.test_quality import brute as quality
 from tests.llm.test_secrets import brute as base_spans
-from tests.llm.test_simhash import brute_classes, brute_fingerprint
 
 
 @pytest.fixture(scope="module")
@@ -34,9 +34,8 @@ def folder(spark, tmp_path_factory):
 def test_stages_equal_brute_force(spark, folder):
     top, rows, items = folder
     left = [r for r in rows if not quality(r[1])[-1]]
-    ids = [r[0] for r in left]
-    keep = set(brute_classes([brute_fingerprint(r[1]) for r in left], ids))
-    left = [r for r in left if r[0] in keep]
+    classes = brute_classes([r[1] for r in left])  # five-word Jaccard of 0.8 or more
+    left = [r for k, r in enumerate(left) if classes.index(classes[k]) == k]
     clean = lambda t: all(fit(words(i), words(t)) > D.edit_bound(len(words(i))) for i in items)
     left = [r for r in left if clean(r[1])]
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
