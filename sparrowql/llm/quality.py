@@ -10,23 +10,28 @@ corrects for the number of sequences. Among the cutoffs that pass, the one with
 the largest gain (share of bad rows rejected less ``GAIN`` times the share of
 good rows) is taken, the laxest on ties; a rule without gain isn't used.
 
-Cases: a null text has no words and fails the base rules; a null stratum is a
-stratum of its own; strata without enough labels get no cutoffs, so only the
+Strata with so few good labels that no test of theirs could pass, even without a
+false rejection, are pooled and calibrated as one; there the bound holds for the
+pool as a whole, not for each stratum in it. Where the pool is too small as well,
+its strata get no cutoffs.
+
+Cases: a null text has no words and fails the base rules; the null stratum and
+the empty one are two; strata without any label get no cutoffs, so only the
 base rules reject there; repeated rows are judged alike; without labels only
 the base rules hold; an empty table gives an empty table. Labels that are null
 or whose document is missing are ignored, and several labels of one document
-count as its least.
+count as its least. Rows of one id are one label each.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparrowql.llm.shared import Workspace, unique_name
 
-#: Labels over which ORACLE_SQL alone still reads a sample; calibration here reads every label.
-MAX_LABELS = 40_000
 #: False rejections that a stratum allows, and the risk of allowing more.
 ALPHA, DELTA = 0.02, 0.05
 GAIN = 10.0
@@ -39,15 +44,6 @@ _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SHOUTS = "!?"
 
 
-def _held(value: Column) -> Column:
-    """``value``, which the optimizer doesn't move.
-
-    A filter over these columns would else be pushed through every projection,
-    with the array functions copied into one another's lambdas.
-    """
-    return F.when(F.monotonically_increasing_id() >= 0, value)
-
-
 def _without(text: Column, characters: str) -> Column:
     return F.translate(text, characters, "")
 
@@ -97,11 +93,11 @@ def quality_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     chars = F.length(_without(F.col("_text"), _SPACES + " "))
     df = df.select(
         *docs.columns,
-        _held(F.col("_n_words")).alias("n_words"),
+        F.col("_n_words").alias("n_words"),
         chars.cast("long").alias("word_chars"),
         (length - F.length(_without(F.col("_text"), _SYMBOLS))).cast("long").alias("n_symbols"),
         (F.col("_n_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        _held(F.coalesce(F.aggregate(added, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long")).alias("n_repeat_words"),
+        F.coalesce(F.aggregate(added, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long").alias("n_repeat_words"),
         F.col("_n_lines"),
         (length - F.length(_without(F.col("_text"), _CAPITALS))).alias("_capitals"),
         (length - F.length(_without(F.col("_text"), _SHOUTS))).alias("_shouts"),
@@ -168,8 +164,15 @@ def calibrate(
         .groupBy("_stratum", "x.rule", "x.level")
         .agg(F.count(F.when(F.col("_good"), 1)).alias("good"), F.count(F.when(~F.col("_good"), 1)).alias("bad"))
     )
-    tally = work.save(tally, "tally")  # read twice, and small
-    tests = tally.groupBy("_stratum", "rule").agg(
+    tally = work.save(tally, "tally")  # read several times, and small
+    own = tally.where(F.col("rule") == RULES[0]).groupBy(F.col("_stratum").alias("own")).agg(F.sum("good").alias("n"))
+    strata = own.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("strata"))
+    least = F.log(F.col("strata") * (len(RULES) / delta)) / -math.log(1 - alpha / len(RULES))
+    own = own.crossJoin(F.broadcast(strata)).select("own", (F.col("n") < least).alias("pooled"), "strata")  # one row
+    own = work.save(own, "strata")
+    tally = tally.join(F.broadcast(own), F.col("_stratum").eqNullSafe(F.col("own")))
+    tally = tally.withColumn("_stratum", F.when(~F.col("pooled"), F.col("_stratum")))
+    tests = tally.groupBy("pooled", "_stratum", "rule", "strata").agg(
         F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"), F.collect_list(F.struct("level", "good", "bad")).alias("levels")
     )
     over = lambda name: F.aggregate(
@@ -177,21 +180,21 @@ def calibrate(
     )
     tests = tests.select(
         "*", F.explode(F.sequence(F.lit(CUTOFFS - 1), F.lit(0), F.lit(-1))).alias("cutoff")
-    ).select("_stratum", "rule", "cutoff", "n_good", "n_bad", over("good").alias("k_good"), over("bad").alias("k_bad"))
-    strata = tests.groupBy().agg(F.greatest(F.count_distinct("_stratum"), F.lit(1)).alias("strata"))
-    tests = tests.crossJoin(F.broadcast(strata))  # one row
+    ).select("pooled", "_stratum", "rule", "strata", "cutoff", "n_good", "n_bad", over("good").alias("k_good"), over("bad").alias("k_bad"))
     passes = binomial_tail(F.col("k_good"), F.col("n_good"), alpha / len(RULES)) <= F.lit(delta / len(RULES)) / F.col("strata")
     gain = F.col("k_bad") / F.greatest("n_bad", F.lit(1)) - GAIN * F.col("k_good") / F.greatest("n_good", F.lit(1))
-    tests = tests.select("_stratum", "rule", "cutoff", passes.alias("passes"), gain.alias("gain"))
-    chosen = tests.groupBy("_stratum", "rule").agg(
+    tests = tests.select("pooled", "_stratum", "rule", "cutoff", passes.alias("passes"), gain.alias("gain"))
+    chosen = tests.groupBy("pooled", "_stratum", "rule").agg(
         F.coalesce(F.max(F.when(~F.col("passes"), F.col("cutoff"))), F.lit(-1)).alias("failed"),
         F.collect_list(F.struct("gain", "cutoff")).alias("all"),
     )
     best = F.array_max(F.filter("all", lambda x: (x["cutoff"] > F.col("failed")) & (x["gain"] > 0)))
-    chosen = chosen.select("_stratum", "rule", best["cutoff"].alias("cutoff")).where(F.col("cutoff").isNotNull())
-    return chosen.groupBy(F.col("_stratum").alias("stratum")).agg(
+    chosen = chosen.select("pooled", "_stratum", "rule", best["cutoff"].alias("cutoff")).where(F.col("cutoff").isNotNull())
+    chosen = chosen.groupBy(F.col("pooled").alias("of_pool"), "_stratum").agg(
         F.map_from_entries(F.collect_list(F.struct("rule", (F.col("cutoff") / CUTOFFS).alias("cutoff")))).alias("cutoffs")
     )
+    same = (F.col("pooled") == F.col("of_pool")) & F.when(~F.col("pooled"), F.col("own")).eqNullSafe(F.col("_stratum"))
+    return own.join(F.broadcast(chosen), same).select(F.col("own").alias("stratum"), "cutoffs")
 
 
 def quality_rules(
@@ -213,11 +216,11 @@ def quality_rules(
     work = Workspace(docs.sparkSession, "quality")
     names = {c: unique_name(carry, c) for c in (*COUNTS, "failed_rules", "kept")}
     body = docs.select(
-        F.struct(*carry).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_body"), F.coalesce(F.col(stratum_col), F.lit("")).alias("_stratum")
+        F.struct(*carry).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_body"), F.col(stratum_col).alias("_stratum")
     )
     measured = work.save(quality_counts(body, "_body").drop("_body"), "measured")
     cutoffs = calibrate(measured, labels, work, id_col, **limits)
-    judged = measured.join(F.broadcast(cutoffs), F.col("_stratum") == F.col("stratum"), "left")
+    judged = measured.join(F.broadcast(cutoffs), F.col("_stratum").eqNullSafe(F.col("stratum")), "left")
     failed = F.filter(
         F.array(*[F.when(F.col(f"measures.{r}") > F.try_element_at("cutoffs", F.lit(r)), F.lit(r)) for r in RULES]), lambda x: x.isNotNull()
     )
@@ -232,9 +235,10 @@ def stage(spark, docs: DataFrame, labels: DataFrame) -> DataFrame:
     return judged.where(F.col(unique_name(docs.columns, "kept"))).select(*docs.columns)
 
 
-#: The query in DuckDB: counts, calibration and verdicts.
-ORACLE_SQL = f"""
-WITH d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents
+def oracle_sql(alpha: float = ALPHA) -> str:
+    """The query in DuckDB: counts, calibration and verdicts."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, lang AS stratum, coalesce(text, '') AS t FROM documents
 ), w AS (SELECT rn, unnest(list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS word,
     generate_subscripts(list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''), 1) AS pos FROM d
 ), tri AS (SELECT rn, pos, word AS a, lead(word) OVER o AS b, lead(word, 2) OVER o AS c FROM w WINDOW o AS (PARTITION BY rn ORDER BY pos)
@@ -251,19 +255,20 @@ WITH d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(lang, '') AS stra
     {{'rule': 'symbols', 'v': n_symbols / greatest(n_words, 1)}}, {{'rule': 'shouts', 'v': shouts / greatest(n_words, 1)}},
     {{'rule': 'capitals', 'v': capitals / greatest(word_chars, 1)}}, {{'rule': 'dup_lines', 'v': n_dup_lines / greatest(n_lines, 1)}},
     {{'rule': 'repeats', 'v': n_repeat_words / greatest(n_words, 1)}}, {{'rule': 'long_words', 'v': word_chars / greatest(n_words, 1) / 32}}] AS ms FROM f
-), lab AS (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL AND (
-    (SELECT count(*) FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL) <= {MAX_LABELS}
-    OR ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT < floor(4294967296.0 * {MAX_LABELS} / (SELECT count(*) FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL))) GROUP BY doc_id
+), lab AS (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id
 ), lv AS (SELECT stratum, good, x.rule AS rule, ceil(least(x.v, 1.0) * {CUTOFFS}) AS level FROM (SELECT stratum, good, unnest(ms) AS x FROM m JOIN lab USING (doc_id) WHERE NOT base_failed)
-), ts AS (SELECT stratum, rule, c AS cutoff, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS n_bad, count(*) FILTER (good AND level > c) AS k,
-    count(*) FILTER (NOT good AND level > c) AS k_bad FROM lv, range({CUTOFFS}) AS r(c) GROUP BY stratum, rule, c
-), ps AS (SELECT *, CASE WHEN k > n * {ALPHA / len(RULES)!r} THEN 1.0 ELSE list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
-    + i * ln({ALPHA / len(RULES)!r}) + (n - i) * ln(1 - {ALPHA / len(RULES)!r})))) END <= {DELTA / len(RULES)!r} / (SELECT greatest(count(DISTINCT stratum), 1) FROM lv) AS passes,
+), own AS (SELECT stratum AS own, count(*) FILTER (good AND rule = '{RULES[0]}') AS n, count(*) OVER () AS strata FROM lv GROUP BY stratum
+), pl AS (SELECT own, n < ln(strata * {len(RULES) / DELTA!r}) / {-math.log(1 - alpha / len(RULES))!r} AS pooled, strata FROM own
+), ts AS (SELECT pooled, CASE WHEN NOT pooled THEN stratum END AS stratum, rule, any_value(strata) AS strata, c AS cutoff, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS n_bad, count(*) FILTER (good AND level > c) AS k,
+    count(*) FILTER (NOT good AND level > c) AS k_bad FROM lv JOIN pl ON stratum IS NOT DISTINCT FROM own, range({CUTOFFS}) AS r(c) GROUP BY ALL
+), ps AS (SELECT *, CASE WHEN k > n * {alpha / len(RULES)!r} THEN 1.0 ELSE list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
+    + i * ln({alpha / len(RULES)!r}) + (n - i) * ln(1 - {alpha / len(RULES)!r})))) END <= {DELTA / len(RULES)!r} / strata AS passes,
     k_bad / greatest(n_bad, 1) - {GAIN} * k / greatest(n, 1) AS gain FROM ts
-), best AS (SELECT stratum, rule, arg_max(cutoff, (gain, cutoff)) AS cutoff FROM (
-    SELECT *, coalesce(max(cutoff) FILTER (NOT passes) OVER (PARTITION BY stratum, rule), -1) AS failed FROM ps) WHERE cutoff > failed AND gain > 0 GROUP BY stratum, rule
+), best AS (SELECT pooled, stratum, rule, arg_max(cutoff, (gain, cutoff)) AS cutoff FROM (
+    SELECT *, coalesce(max(cutoff) FILTER (NOT passes) OVER (PARTITION BY pooled, stratum, rule), -1) AS failed FROM ps) WHERE cutoff > failed AND gain > 0 GROUP BY pooled, stratum, rule
 ), v AS (SELECT rn, string_agg(x.rule, ',' ORDER BY list_position({list(RULES)}, x.rule)) AS failed_rules FROM (SELECT rn, stratum, unnest(ms) AS x FROM m) AS e
-    JOIN best ON x.rule = best.rule AND e.stratum = best.stratum WHERE least(x.v, 1.0) > cutoff / {CUTOFFS}.0 GROUP BY rn)
+    JOIN pl ON e.stratum IS NOT DISTINCT FROM own
+    JOIN best ON x.rule = best.rule AND pl.pooled = best.pooled AND (CASE WHEN NOT pl.pooled THEN own END) IS NOT DISTINCT FROM best.stratum WHERE least(x.v, 1.0) > cutoff / {CUTOFFS}.0 GROUP BY rn)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(failed_rules, '') AS failed_rules,
   NOT base_failed AND failed_rules IS NULL AS kept FROM m LEFT JOIN v USING (rn)
 """

@@ -49,6 +49,16 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.COUNTS, F.array_join("failed_rules", ",").alias("failed_rules"), "kept")
 
 
+#: Share of false rejections at which the few labels of small tables give cutoffs.
+WIDE_ALPHA = 0.2
+
+
+def quality_rules_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7 with a bound so wide that cutoffs act on small tables too."""
+    judged = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"], alpha=WIDE_ALPHA)
+    return judged.select("doc_id", *quality.COUNTS, F.array_join("failed_rules", ",").alias("failed_rules"), "kept")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(
         table(spark, sf_dir, "documents"),
@@ -75,6 +85,7 @@ def queries() -> dict[str, Query]:
         "op5_simhash": op5_simhash,
         "op6_secret_scan": op6_secret_scan,
         "op7_quality_rules": op7_quality_rules,
+        "quality_rules_wide": quality_rules_wide,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_license_scan": op9_license_scan,
         "op10_url_filter": op10_url_filter,
@@ -84,6 +95,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_suffix_dedup": substrings.ORACLE_SQL,
-        "op7_quality_rules": quality.ORACLE_SQL,
+        "op7_quality_rules": quality.oracle_sql(),
+        "quality_rules_wide": quality.oracle_sql(WIDE_ALPHA),
         "op10_url_filter": urls.ORACLE_SQL,
     }

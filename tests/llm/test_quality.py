@@ -63,3 +63,21 @@ def test_every_label_counts(spark):
     labels = spark.createDataFrame(few, "doc_id long, quality int").union(spark.range(10_000, 90_000).selectExpr("id", "1"))
     bad = Q.quality_rules(docs, labels).where("not kept")
     assert {r.doc_id for r in bad.collect()} == set(range(0, 2400, 10))
+
+
+def test_null_and_empty_strata_are_two_and_small_ones_are_pooled(spark):
+    kinds = [None, "", "de", "fr"]
+    rows = [(i, body(i, i % 10 == 0), kinds[min(i % 8, 3)]) for i in range(4000)]  # 500 rows of each of the first three, 2,500 of the last
+    docs = spark.createDataFrame([*rows, (9000, body(9000, True), "xx")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(4000)], "doc_id long, quality int")
+    work = Q.Workspace(spark, "test")
+    measured = Q.quality_counts(docs.selectExpr("doc_id AS _id", "lang AS _stratum", "text AS _body"), "_body").drop("_body")
+    alpha = 0.03  # a stratum of its own needs 1,236 good labels; the three small ones have 1,350 together
+    got = {r.stratum: r.cutoffs for r in Q.calibrate(measured, labels, work, alpha=alpha).collect()}
+    assert got.keys() == set(kinds) and got[None] == got[""] == got["de"] and "symbols" in got["fr"]
+    left_out = {r.doc_id for r in Q.quality_rules(docs, labels, alpha=alpha).where("not kept").collect()}
+    assert left_out == set(range(0, 4000, 10))  # the document of a stratum without labels is kept
+    few = labels.where("doc_id % 8 <> 2")
+    assert {r.stratum for r in Q.calibrate(measured, few, Q.Workspace(spark, "test"), alpha=alpha).collect()} == {"fr"}
+    apart = Q.calibrate(measured.where("_stratum IS NULL OR _stratum = ''"), labels, Q.Workspace(spark, "test"), alpha=0.1)
+    assert {r.stratum for r in apart.collect()} == {None}  # the empty one holds no bad row, and isn't the null one
