@@ -3,9 +3,10 @@
 A url is listed if the list holds one of its canonical keys: its canonical URL
 (host without ``www.``, path without trailing slash) or ``host/`` for its host
 or a parent domain. Keys are tested against a blocked Bloom filter: one block of
-256 bits a key, eight bits within it. The filter has at most ``MAX_BLOCKS``
-rows whatever the length of the list, so it is broadcast; a longer list only
-lets more false positives through to the exact join, which removes them.
+256 bits a key, eight bits within it, and a block for every ``KEYS_A_BLOCK`` keys
+of the list, however long it is. Up to ``MOST_BLOCKS`` blocks are broadcast; a
+larger filter is met by a plain join on the block. Possible hits go to an exact
+join, which removes false positives.
 
 Rules (host, path prefix, verdict) come before the list: a rule fits its host
 and all subdomains if the path starts with the rule's, and the longest wins.
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from sparrowql.llm.shared import unique_name
 
-#: Rows of the broadcast filter at most, 40 bytes each.
-MAX_BLOCKS = 1 << 16
+#: Blocks of a filter that is broadcast at most, 40 bytes each.
+MOST_BLOCKS = 1 << 18
 #: Listed keys a block; eight bits of 256 each.
 KEYS_A_BLOCK = 16
 WORDS, BITS_A_KEY = 4, 8
@@ -55,17 +56,21 @@ def canonical_host(host: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(plain, r"\.+$", ""), r"^www\.(?=.)", "")
 
 
+def own_key(host: Column, path: Column) -> Column:
+    """The url's own key; null without a host."""
+    host = canonical_host(host)
+    return F.when(host != "", F.concat(host, F.regexp_replace(path, r"/+$", ""), F.lit("/")))
+
+
 def canonical_keys(host: Column, path: Column) -> Column:
     """Every key by which a list may hold the url, the url's own first."""
-    host = canonical_host(host)
-    labels = F.split(host, r"\.")
-    own = F.concat(host, F.regexp_replace(path, r"/+$", ""), F.lit("/"))
+    labels = F.split(canonical_host(host), r"\.")
     parents = F.transform(
         F.sequence(F.lit(1), F.size(labels)),
         lambda i: F.concat(F.array_join(F.slice(labels, i, F.size(labels)), "."), F.lit("/")),
     )
-    keys = F.array_distinct(F.concat(F.array(own), parents))
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(keys)
+    keys = F.array_distinct(F.concat(F.array(own_key(host, path)), parents))
+    return F.when(canonical_host(host) == "", F.array().cast("array<string>")).otherwise(keys)
 
 
 def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column, Column]:
@@ -91,6 +96,11 @@ def _bits(key: Column) -> list[tuple[int, Column]]:
     ]
 
 
+def blocks_for(n_keys: int) -> int:
+    """Blocks of a filter, a power of two."""
+    return 1 << (n_keys // KEYS_A_BLOCK).bit_length()
+
+
 def bloom_blocks(listed_keys: DataFrame, n_blocks: int) -> DataFrame:
     """``block`` and its words, for distinct keys in column ``key``."""
     words = [
@@ -110,23 +120,24 @@ def list_keys(listed: DataFrame, url_col: str = "url") -> DataFrame:
     """Distinct canonical keys of listed urls; an entry without ``://`` is a host with or without path."""
     url = F.col(url_col)
     rest = F.when(F.instr(url, "://") > 0, url_rest(url)).otherwise(url)
-    keys = canonical_keys(url_host(rest), url_path(rest))
-    return listed.where(url.isNotNull()).select(F.get(keys, F.lit(0)).alias("key")).where("key is not null").distinct()
+    key = own_key(url_host(rest), url_path(rest))
+    return listed.where(url.isNotNull()).select(key.alias("key")).where("key is not null").distinct()
 
 
 def listed_urls(urls: DataFrame, listed: DataFrame, url_col: str = "url", listed_col: str = "url") -> DataFrame:
     """Distinct urls (column ``_listed_url``) of which the list holds a key."""
     keys = list_keys(listed, listed_col)
-    n_keys = keys.count()
-    n_blocks = 1 << min(MAX_BLOCKS.bit_length() - 1, max(0, (n_keys // KEYS_A_BLOCK).bit_length()))
+    n_blocks = blocks_for(keys.count())
     blocks = bloom_blocks(keys, n_blocks)
+    if n_blocks <= MOST_BLOCKS:
+        blocks = F.broadcast(blocks)
     rest = url_rest(F.col(url_col))
     own = urls.where(F.col(url_col).isNotNull()).select(F.col(url_col).alias("_listed_url"), F.explode(canonical_keys(url_host(rest), url_path(rest))).alias("_key"))
     own = own.withColumn("_block", _block(F.col("_key"), n_blocks))
     hit = F.col("_block") == F.col("block")
     for word, mask in _bits(F.col("_key")):
         hit = hit & (F.col(f"w{word}").bitwiseAND(mask) != 0)
-    possible = own.join(F.broadcast(blocks), hit).select("_listed_url", "_key").distinct()
+    possible = own.join(blocks, hit).select("_listed_url", "_key").distinct()
     return possible.join(keys, F.col("_key") == F.col("key"), "left_semi").select("_listed_url").distinct()
 
 

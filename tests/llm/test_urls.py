@@ -1,3 +1,7 @@
+from pathlib import Path
+
+import pytest
+
 from sparrowql.llm import urls as U
 
 
@@ -42,3 +46,30 @@ def test_bloom_has_no_false_negatives_and_the_join_removes_false_positives(spark
     assert out.columns == [*pages.columns, "_host", "_path", "_rule", "_verdict"]
     taken = U.url_filter(pages.selectExpr("*", "1 AS _host", "2 AS _url", "3 AS _listed_url", "4 AS _row"), listed)
     assert taken.columns[-4:] == ["__host", "_path", "_rule", "_verdict"] and taken.where("_verdict = 'block'").count() == 1000
+
+
+def test_long_lists_keep_a_filter_that_filters(spark):
+    """Over a million keys: the filter grows with them, so few strangers pass it."""
+    listed = spark.range(1_050_000).selectExpr("concat('h', id, '.example.org') AS url")
+    pages = spark.range(0, 6_000_000, 1500).selectExpr("id AS page_id", "concat('http://h', id, '.example.org/x') AS url")
+    out = U.url_filter(pages, listed).where("_verdict = 'block'")
+    assert [r.page_id for r in out.select("page_id").sort("page_id").collect()] == list(range(0, 1_050_000, 1500))
+
+
+def test_the_filter_grows_with_the_list(spark, monkeypatch):
+    listed = spark.range(20_000).selectExpr("concat('h', id, '.example.org') AS url")
+    n_blocks = U.blocks_for(20_000)
+    assert n_blocks * U.KEYS_A_BLOCK >= 20_000 and U.blocks_for(10**9) * U.KEYS_A_BLOCK >= 10**9
+    full = U.bloom_blocks(U.list_keys(listed), n_blocks).selectExpr("avg(bit_count(w0) + bit_count(w1) + bit_count(w2) + bit_count(w3)) / 256").first()[0]
+    assert full**8 < 0.002  # the chance that a stranger passes
+    monkeypatch.setattr(U, "MOST_BLOCKS", 0)  # the filter isn't broadcast
+    pages = spark.range(0, 60_000, 100).selectExpr("id AS page_id", "concat('http://h', id, '.example.org/x') AS url")
+    assert U.url_filter(pages, listed).where("_verdict = 'block'").count() == 200
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").is_dir(), reason="needs the driver's tables")
+def test_the_query_runs_no_python(spark):
+    from sparrowql.llm import queries
+
+    plan = queries.op10_url_filter(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "Python" not in plan and "ExistingRDD" not in plan
