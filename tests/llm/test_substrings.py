@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from sparrowql.llm import substrings as S
 
@@ -56,15 +57,56 @@ def corpus(rng, n):
     return rows
 
 
-def test_equals_brute_force(spark, monkeypatch):
-    rng = random.Random(7)
-    for chunk_bytes, range_bytes in ((4_000_000, 8_000_000), (700, 900)):
-        monkeypatch.setattr(S, "CHUNK_BYTES", chunk_bytes)
-        monkeypatch.setattr(S, "RANGE_BYTES", range_bytes)
-        rows = corpus(rng, 150)
-        docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, spans string")
-        got = S.remove_repeats(docs).collect()
-        assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute(rows)
+def test_front_coding():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 500):
+        rows = np.unique(rng.integers(97, 100, (n, 13), dtype=np.uint8), axis=0)
+        assert (S.front_decoded(S.front_coded(rows)) == rows).all()
+
+
+def test_ranks_follow_the_bytes():
+    rng = np.random.default_rng(3)
+    rows = rng.integers(0, 256, (400, 3), dtype=np.uint8) // 90
+    order, rank = S.ranked(rows)
+    assert [bytes(rows[k]) for k in order] == sorted(bytes(r) for r in rows)
+    names = sorted({bytes(r) for r in rows})
+    assert [names.index(bytes(r)) for r in rows] == rank.tolist()
+
+
+def results(spark, rows):
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, spans string")
+    got = S.remove_repeats(docs).collect()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("chunks_")]
+    return sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got)
+
+
+@pytest.mark.parametrize(
+    "sizes",
+    [
+        {},
+        {"CHUNK_BYTES": 700, "RANGE_BYTES": 900, "TUPLE_RANGE_BYTES": 600},  # many chunks and ranges, documents over a chunk, ids over several
+        {"CHUNK_BYTES": 1500, "RANGE_BYTES": 900, "TUPLE_RANGE_BYTES": 600, "HASH_BITS": 2, "SPLITTERS": 3},  # all hashes collide: bytes decide
+        {"CHUNK_BYTES": 1500, "RANGE_BYTES": 2000, "TUPLE_RANGE_BYTES": 2000, "HOT": 2},  # most tuples are hot
+        {"CHUNK_BYTES": 900, "HOT": 0},
+    ],
+)
+def test_equals_brute_force(spark, monkeypatch, sizes):
+    for name, value in sizes.items():
+        monkeypatch.setattr(S, name, value)
+    rows = corpus(random.Random(str(sizes)), 150)
+    assert results(spark, rows) == brute(rows)
+
+
+def test_one_id_and_one_line_hold_a_third_of_all(spark, monkeypatch):
+    """The rows of the hot id go over many chunks and don't mark each other; the line stands amid different bytes."""
+    monkeypatch.setattr(S, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(S, "HOT", 5)
+    rng = random.Random(9)
+    draw = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    line, passage = "Released under a license that everybody puts at the end.", draw(70)
+    rows = [(i, draw(40) + (line if i % 3 else passage) + draw(30)) for i in range(150)]
+    rows += [(77, draw(60) + passage + draw(rng.randint(0, 40))) for _ in range(90)]
+    assert results(spark, rows) == brute(rows)
 
 
 def test_kept_bytes_and_empty_table(spark):
