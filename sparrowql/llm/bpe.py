@@ -9,7 +9,8 @@ so they go through a heap over a linked list, which makes the same merges in
 the same order.
 
 Null texts count as empty and give no ids. The operator is a map over rows: it
-keeps every input column, repeats and nulls included, and shuffles nothing.
+keeps every input column, repeats and nulls included, and shuffles nothing; an empty
+table gives an empty table. The rank file is read on the driver and broadcast.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from sparrowql.llm.shared import slices, unique_name, with_fields
@@ -78,9 +81,9 @@ class PairTable:
 class Codec:
     """Encoder and decoder for one rank file and split pattern."""
 
-    def __init__(self, rank_path: str, pattern: str):
-        with open(rank_path, "rb") as f:
-            pairs = [line.split() for line in f if line.strip()]
+    def __init__(self, ranks: bytes, pattern: str):
+        """``ranks``: the bytes of a rank file."""
+        pairs = [line.split() for line in ranks.splitlines() if line.strip()]
         self.ranks = {base64.b64decode(a): int(b) for a, b in pairs}
         self.pattern = regex.compile(pattern)
         size = max(self.ranks.values()) + 1
@@ -202,8 +205,13 @@ class Codec:
 
 
 @lru_cache(maxsize=4)
-def codec(rank_path: str, pattern: str) -> Codec:
-    return Codec(rank_path, pattern)
+def codec(ranks: bytes, pattern: str) -> Codec:
+    return Codec(ranks, pattern)
+
+
+def _shipped(docs: DataFrame, rank_path: str) -> Broadcast:
+    """The rank file, read on the driver alone; some megabytes."""
+    return docs.sparkSession.sparkContext.broadcast(Path(rank_path).read_bytes())
 
 
 def bpe(
@@ -222,9 +230,10 @@ def bpe(
     names = docs.columns
     ids_col, decoded_col = unique_name(names, ids_col), unique_name(names, decoded_col)
     schema = with_fields(docs.schema, **{ids_col: "array<int>", decoded_col: "binary"})
+    ranks = _shipped(docs, rank_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(rank_path, pattern)
+        coder = codec(ranks.value, pattern)
         for batch in batches:
             for part in slices(batch, text_col):
                 texts = [t or "" for t in part.column(text_col).to_pylist()]
@@ -248,9 +257,10 @@ def bpe_digests(
     schema = with_fields(
         docs.select(id_col).schema, n_tokens="long", ids_sha256="string", decoded_sha256="string"
     )
+    ranks = _shipped(docs, rank_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(rank_path, pattern)
+        coder = codec(ranks.value, pattern)
         for batch in batches:
             for part in slices(batch, text_col):
                 texts = [t or "" for t in part.column(text_col).to_pylist()]
@@ -271,9 +281,10 @@ def tokenized(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "te
     names = docs.columns
     added = {unique_name(names, n): k for n, k in (("token_ids", "array<int>"), ("n_tokens", "long"), ("round_trip", "boolean"))}
     schema = with_fields(docs.schema, **added)
+    ranks = _shipped(docs, rank_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(rank_path, pattern)
+        coder = codec(ranks.value, pattern)
         for batch in batches:
             for part in slices(batch, text_col):
                 texts = [t or "" for t in part.column(text_col).to_pylist()]

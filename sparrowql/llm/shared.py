@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -11,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Used only where the session names no shared folder (local runs and tests).
+#: Used only where the session names no shared folder and runs in one process (local runs and tests).
 LOCAL_CHECKPOINT_DIR = "/tmp/checkpoints/sparrowql"
 
 
@@ -23,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = LOCAL_CHECKPOINT_DIR
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(folder)
@@ -34,13 +39,24 @@ class Workspace:
 
     A lost executor costs only the tasks of the running stage, because each
     table is complete before the next stage reads it. ``drop`` removes a table
-    that no returned DataFrame reads any more.
+    that no returned DataFrame reads any more; what returned DataFrames read goes
+    when the driver's Python ends.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.names: set[str] = set()
+        atexit.register(self._remove)
+
+    def _remove(self) -> None:
+        if self.spark.sparkContext._jsc is not None:  # else the session is stopped, and its folder is the cluster's to clean
+            with contextlib.suppress(Exception):  # the JVM may be gone before
+                self._delete(self.root)
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)  # type: ignore[union-attr]
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def path(self, name: str) -> str:
         """Where a table of this name goes."""
@@ -53,9 +69,7 @@ class Workspace:
         return self.spark.read.schema(schema or df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete(f"{self.root}/{name}")
         self.names.discard(name)
 
     def keep(self, *names: str) -> None:
@@ -65,7 +79,11 @@ class Workspace:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of DataFrames that are no longer used."""
+    """Lets Spark delete the shuffle files of DataFrames that are no longer used.
+
+    Spark does so when the driver's JVM collects them, which may be hours later;
+    an operator of several exchanges would hold all of them on disk till then.
+    """
     gc.collect()
     spark._jvm.System.gc()
 

@@ -1,5 +1,6 @@
 import base64
 import random
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -24,7 +25,7 @@ def texts():
 
 
 def test_ids_equal_the_library(library):
-    coder = codec(PATH, public_tokenizers.PATTERN)
+    coder = codec(Path(PATH).read_bytes(), public_tokenizers.PATTERN)
     import numpy as np
 
     for text, got in zip(texts(), coder.encode_texts(texts()), strict=True):
@@ -34,7 +35,7 @@ def test_ids_equal_the_library(library):
 
 
 def test_matrix_equals_heap():
-    coder = codec(PATH, public_tokenizers.PATTERN)
+    coder = codec(Path(PATH).read_bytes(), public_tokenizers.PATTERN)
     rng = random.Random(5)
     pieces = [bytes(rng.choice(b"theinanre \xc3\xa9") for _ in range(rng.randint(2, 90))) for _ in range(400)]
     for a, b in zip(coder._by_matrix(pieces), map(coder._by_heap, pieces), strict=True):
