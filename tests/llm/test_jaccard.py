@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 import corpus_pipeline
 from sparrowql.llm import jaccard as J
 from sparrowql.llm import simhash
@@ -93,6 +95,28 @@ def test_long_fingerprints_keep_linked_pairs():
     assert max(far[0.8]) <= J.RADIUS - 8 and sum(x > J.RADIUS for x in far[0.45]) > 100
 
 
+def test_pivots_discard_pairs_of_a_cell():
+    """Points of two families that share a cell: the table leaves hardly a pair across them, and every near pair."""
+    rng = random.Random(10)
+    sets = []
+    for side in "xy":
+        base = [f"{side}{k}" for k in range(300)]
+        for k in range(40):
+            copy = list(base)
+            for at in rng.sample(range(300), 6):
+                copy[at] = f"new{rng.randrange(10**6)}"
+            sets.append(J.shingles(" ".join(copy)))
+    long = np.stack([J.long_fingerprint(s) for s in sets])
+    sizes, order = np.array([len(s) for s in sets]), np.argsort([len(s) for s in sets], kind="stable")
+    family = np.repeat([0, 1], 40)[order]
+    i, j = J.near_rows(np.zeros(80, np.int64), np.arange(80), sizes[order], long[order])
+    assert len(i) == 78 and (family[i] == family[j]).all()  # a tree of each family
+    table = np.stack([J.distances(long[order], slice(None), r) for r in np.linspace(0, 79, J.REFERENCES).astype(int)])
+    a, b = np.triu_indices(80, 1)
+    left = (np.abs(table[:, a] - table[:, b]) <= J.RADIUS).all(axis=0)
+    assert left[family[a] != family[b]].mean() < 0.1 and left[family[a] == family[b]].all()
+
+
 def test_cases(spark):
     docs = spark.createDataFrame([(None, "one two"), (None, "One  two"), (3, None), (2, ""), (5, "x y z")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, (r.text or "").lower().split()) for r in J.near_dedup(docs).collect()) == [(0, ["one", "two"]), (2, []), (5, ["x", "y", "z"])]

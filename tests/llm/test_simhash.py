@@ -71,6 +71,21 @@ def test_links_are_complete(spark, monkeypatch):
         assert len(set(names.values())) == len(names)
 
 
+def test_pivots_discard_most_pairs_before_verification():
+    """Of the pairs of a cell few are left to be verified, and no link is among the others."""
+    rng = random.Random(12)
+    same = rng.getrandbits(16)  # what the cell's points share
+    fps = np.array([same << 48 | rng.getrandbits(48) for _ in range(300)], np.uint64)
+    fps = np.concatenate([fps, fps[:60] ^ np.uint64(5)])
+    i, j = np.triu_indices(len(fps), 1)
+    table = np.bitwise_count(fps ^ S.pivot_fingerprints()[:, None]).astype(np.int16)
+    left = np.all([np.abs(column[i] - column[j]) <= S.RADIUS for column in table], axis=0)
+    linked = np.bitwise_count(fps[i] ^ fps[j]) <= S.RADIUS
+    assert left.sum() < 0.01 * len(i) and not (linked & ~left).any() and linked.sum() >= 60
+    got = S.linked_pairs(fps, table, i, j)
+    assert (got[0] == i[linked]).all() and (got[1] == j[linked]).all()
+
+
 def test_components_of_a_long_path(spark, monkeypatch):
     edges = spark.range(120).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     edges = edges.union(edges.select("b", "a")).union(spark.range(200, 202).select("id", "id"))
