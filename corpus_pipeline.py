@@ -1,7 +1,15 @@
 """A training-corpus pipeline of five operators, each stage written and read again.
 
-quality rules -> Jaccard near-dedup -> benchmark decontamination -> secret
-scans -> byte-level BPE. Every stage works on all that the one before it kept.
+quality rules -> SimHash near-dedup at a Jaccard similarity of 0.8 -> benchmark
+decontamination -> secret scans -> byte-level BPE. Every stage works on all that
+the one before it kept.
+
+Cases: a null or empty text has too few words, so the first stage rejects it, and
+the later ones take it as empty; repeated rows and rows of one id are rows of their
+own until near-dedup, which keeps one row of each class, of its least id (any of
+equal ones, and any row of a class without ids); very long texts are worked on
+whole; an empty table gives an empty table; columns of any other name are carried along, and the
+last stage's own get underscores before their names where these are taken.
 """
 
 from __future__ import annotations
@@ -23,7 +31,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, that of the least id."""
+    """One document of each class of near-duplicates (five-word Jaccard of 0.8 or more), that of the least id."""
     return jaccard.stage(spark, docs)
 
 
