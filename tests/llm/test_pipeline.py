@@ -63,3 +63,28 @@ def test_every_stage_keeps_the_columns_and_takes_an_empty_table(spark, folder):
         assert out.count() == 0
         if name != corpus_pipeline.STAGES[-1][0]:
             assert out.columns == docs.columns
+
+
+def test_null_and_repeated_ids_and_clashing_names(spark, folder):
+    """Rows of one id with different texts, rows without an id, repeated rows, and columns named like the operators' own."""
+    top, rows, _ = folder
+    texts = [r[1] for r in rows[:12]]
+    made = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (None, texts[1]), (None, texts[2]), (None, texts[2] + " more"), (3, texts[3]), (4, texts[3] + " more"), (5, None), (5, ""), (None, None)]
+    extra = "lang string, source string, n_chars long, kept int, key string, part long, fp long, id int, held int, n_words string, stratum string"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, "k", 2, 3, 4, 5, "w", None) for i, t in made], f"doc_id long, text string, {extra}")
+    good = [(i, t) for i, t in made if not quality(t)[-1]]
+    classes = brute_classes([t for _, t in good])
+    least = {}
+    for (i, _), c in zip(good, classes, strict=True):
+        least[c] = min(x for x in (i, least.get(c)) if x is not None) if i is not None or least.get(c) is not None else None
+    out = docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = spark.createDataFrame(stage(spark, out, top).collect(), stage(spark, out, top).schema)
+        assert out.columns[: len(docs.columns)] == docs.columns
+        got = [(r.doc_id, r.text) for r in out.collect()]
+        if name == "quality_rules":
+            assert sorted(got, key=str) == sorted(good, key=str)
+        elif name == "near_dedup":
+            assert sorted((i for i, _ in got), key=str) == sorted(least.values(), key=str)
+            assert len({brute_classes([t for _, t in good] + [t])[-1] for _, t in got}) == len(got)
+    assert out.where("round_trip").count() == out.count() > 0
