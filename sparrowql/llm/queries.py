@@ -44,6 +44,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6 without what the method adds."""
+    return op6_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
     return judged.select("doc_id", *quality.COUNTS, F.array_join("failed_rules", ",").alias("failed_rules"), "kept")
@@ -84,6 +89,7 @@ def queries() -> dict[str, Query]:
         "op4_sharding": op4_sharding,
         "op5_simhash": op5_simhash,
         "op6_secret_scan": op6_secret_scan,
+        "secret_base": secret_base,
         "op7_quality_rules": op7_quality_rules,
         "quality_rules_wide": quality_rules_wide,
         "op8_byte_bpe": op8_byte_bpe,
@@ -95,6 +101,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_suffix_dedup": substrings.ORACLE_SQL,
+        "secret_base": secrets.BASE_SQL,
         "op7_quality_rules": quality.oracle_sql(),
         "quality_rules_wide": quality.oracle_sql(WIDE_ALPHA),
         "op10_url_filter": urls.ORACLE_SQL,

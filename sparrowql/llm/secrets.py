@@ -237,3 +237,34 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
 def stage(spark, docs: DataFrame) -> DataFrame:
     """Pipeline stage: every document, with its secrets replaced."""
     return redact_secrets(docs)
+
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_NAMES = "|".join(map(_either_case, ("password", "passwd", "secret", "token"))) + f"|{_either_case('api')}_?{_either_case('key')}"
+
+
+def _kind_sql(kind: int, pattern: str, group: int, least: int) -> str:
+    """DuckDB SQL for the spans of one kind: a match starts behind all pieces and matches before it."""
+    quoted = pattern.replace("'", "''")
+    return f"""
+  SELECT rn, {kind} AS kind, '{KINDS[kind]}' AS name, a, a + length(m) AS b FROM (
+    SELECT rn, m, g, sum(length(s)) OVER w + coalesce(sum(length(m)) OVER (PARTITION BY rn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM (
+      SELECT rn, unnest(m) AS m, unnest(g) AS g, unnest(s[1:len(m)]) AS s, unnest(range(len(m))) AS i FROM (
+        SELECT rn, regexp_extract_all(t, '{quoted}') AS m, regexp_extract_all(t, '{quoted}', {group}) AS g, regexp_split_to_array(t, '{quoted}') AS s FROM d))
+    WINDOW w AS (PARTITION BY rn ORDER BY i)) WHERE length(g) >= {least}"""
+
+
+#: The base spans in DuckDB.
+BASE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS t FROM documents
+), x AS ({_kind_sql(0, "(" + _NAMES + ")[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, ASSIGN_LEAST)}
+  UNION ALL {_kind_sql(1, "AKIA[A-Z0-9]+", 0, ACCESS_LEAST)}
+  UNION ALL {_kind_sql(2, "[0-9a-f]{24,}", 0, HEX_LEAST)}
+), s AS (SELECT rn, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2,
+    string_agg(name || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT), ',' ORDER BY a, kind) AS said FROM x GROUP BY rn)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(said, '')) AS base_sha256
+FROM d LEFT JOIN s USING (rn)
+"""

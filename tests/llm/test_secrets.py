@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import duckdb
+import pyarrow as pa
 import pytest
 
 from sparrowql.llm import secrets as S
@@ -27,14 +29,29 @@ def brute(text):
     return sorted(out)
 
 
-def test_base_spans_equal_brute_force():
+def made_texts():
     rng = random.Random(1)
     bits = ["token", "=", " ", '"', "AKIA", "ABCDEFGHIJ0123456789", "0123abcdef", "passwd", ":", "é", "api_key", "\n", "x.y"]
-    made = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(2000)]
-    for text in [*TEXTS, *made]:
+    return TEXTS + ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(2000)]
+
+
+def digest(spans):
+    return hashlib.sha256(",".join(f"{S.KINDS[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
+
+
+def test_base_spans_equal_brute_force():
+    for text in made_texts():
         assert S.base_spans(text or "") == brute(text)
 
 
+def test_base_sql_equals_brute_force():
+    con, texts = duckdb.connect(), made_texts()
+    con.register("documents", pa.table({"doc_id": range(len(texts)), "text": texts}))
+    for i, *counts, found in con.execute(S.BASE_SQL).fetchall():
+        want = brute(texts[i])
+        assert (counts, found) == ([sum(k == x for _, k, _ in want) for x in range(3)], digest(want))
+
+
 @pytest.fixture(scope="module")
 def novelty():
     return S.Novelty(S.dictionary())
@@ -94,8 +111,7 @@ def test_frames(spark):
     for r in rows:
         want = brute(TEXTS[2 if r.doc_id is None else r.doc_id])
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == x for _, k, _ in want) for x in range(3)]
-        digest = hashlib.sha256(",".join(f"{S.KINDS[k]}:{a}:{b}" for a, k, b in want).encode()).hexdigest()
-        assert r.base_sha256 == digest
+        assert r.base_sha256 == digest(want)
     assert S.secret_scan(docs.limit(0)).count() == 0
     full = spark.createDataFrame([(1, TEXTS[2], "en", "s", 9), (2, None, None, None, None), (3, "ok", "en", "s", 2)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in S.stage(spark, full).collect()}
