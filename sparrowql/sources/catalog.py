@@ -6,7 +6,6 @@ from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
 from functools import cached_property
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,9 +89,11 @@ class Table:
         return sorted(self.frame.inputFiles()) if self.from_files else []
 
     def first_files(self, n: int) -> Table:
-        """The table of its first files alone."""
-        paths = [unquote(f) for f in self.files[:n]]
-        return replace(self, frame=self.frame.sparkSession.read.schema(self.frame.schema).parquet(*paths), footer=None)
+        """The table of its first files alone, which Spark picks before it reads any."""
+        paths = self.files[:n]
+        out = replace(self, frame=self.frame.where(F.col("_metadata.file_path").isin(paths)), footer=None)
+        out.__dict__["files"] = paths
+        return out
 
     @cached_property
     def _file_starts(self) -> DataFrame:

@@ -245,6 +245,10 @@ def test_row_ids_of_files_and_frames(spark, tmp_path):
     frame = spark.range(0, 100, 1, 4).selectExpr("99 - id as v", "id % 3 as _path", "cast(id as string) as `a``b`", "cast(id % 5 as int) as `c``d`")
     frame.write.parquet(path)
     engine.register_parquet("files", path)
+    frame.write.partitionBy("_path").parquet(str(tmp_path / "dealt.parquet"))
+    engine.register_parquet("dealt", str(tmp_path / "dealt.parquet"))
+    first = engine.rows("SELECT _path, v FROM dealt LIMIT 3")
+    assert first == engine.rows("SELECT _path, v FROM dealt ORDER BY rowid LIMIT 3") and {r[0] for r in first} == {0}
     engine.register("frame", frame)
     for name in ("files", "frame"):
         assert [tuple(r) for r in engine.rows(f"SELECT rowid, v FROM {name} ORDER BY rowid")] == [(i + 1, 99 - i) for i in range(100)]
