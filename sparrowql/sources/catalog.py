@@ -91,7 +91,8 @@ class Table:
     def first_files(self, n: int) -> Table:
         """The table of its first files alone, which Spark picks before it reads any."""
         paths = self.files[:n]
-        out = replace(self, frame=self.frame.where(F.col("_metadata.file_path").isin(paths)), footer=None)
+        named = {p for f in paths for p in (f, f.replace("file:///", "file:/", 1))}  # as a local path's metadata has it
+        out = replace(self, frame=self.frame.where(F.col("_metadata.file_path").isin(sorted(named))), footer=None)
         out.__dict__["files"] = paths
         return out
 

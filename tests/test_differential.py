@@ -303,7 +303,7 @@ def test_limits_stop_early(spark, tmp_path, monkeypatch):
     engine.register_parquet("long", path, "id", in_order=True)
     engine.register("small", spark.range(50).selectExpr("id as k"), key="k")
     read = []
-    monkeypatch.setattr(builder.Table, "first_files", lambda self, n, f=builder.Table.first_files: (read.append(n), f(self, n))[1])
+    monkeypatch.setattr(builder.Table, "first_files", lambda self, n, f=builder.Table.first_files: (read.append((n, f(self, n).frame.count(), f(self, n).frame.rdd.getNumPartitions())), f(self, n))[1])
     for sql, want, files in [
         ("SELECT id FROM long LIMIT 4", [0, 1, 2, 3], [1]), ("SELECT id FROM long WHERE v = 7 LIMIT 2 OFFSET 3", [307, 407], [1]), ("SELECT id FROM long JOIN small ON v = k LIMIT 3", [0, 1, 2], [1]),
         ("SELECT id FROM long WHERE id > 39000 LIMIT 2", [39001, 39002], [1]), ("SELECT id FROM long JOIN small ON id = k WHERE v > 48", [49], []), ("SELECT id FROM long JOIN small ON id = k WHERE v = 49 LIMIT 3", [49], [1]),
@@ -311,7 +311,7 @@ def test_limits_stop_early(spark, tmp_path, monkeypatch):
         read.clear()
         frame = engine.query(sql)
         scans = frame._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("FileScan")
-        assert read == files and scans == (0 if files and len(want) > 1 or "WHERE v = 49" in sql else 1), sql
+        assert read == [(n, 5000, 1) for n in files] and scans == (0 if files and len(want) > 1 or "WHERE v = 49" in sql else 1), sql
         assert [r.id for r in frame.collect()] == want
     monkeypatch.setattr(builder, "EARLY_FILES", 1)
     monkeypatch.setattr(builder, "EARLY_LEFT", 5)
