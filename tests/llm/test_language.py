@@ -1,8 +1,10 @@
 import itertools
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pytest
 
 from sparrowql.llm import language as L
 
@@ -100,3 +102,13 @@ def test_frames_and_held_out_accuracy(spark):
     nothing = L.language_id(docs.withColumn("lang", docs.lang.substr(9, 1)).where("doc_id = 700"))
     assert [r.lang_pred for r in nothing.collect()] == ["und"]
     assert L.language_id(docs.limit(0)).count() == 0
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").is_dir(), reason="needs the driver's tables")
+def test_held_out_accuracy_on_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    held = [r for r in L.language_id(docs).collect() if r.held_out and r.lang_pred != L.UNKNOWN and truth[r.doc_id]]
+    right = sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held)
+    print(f"{right:.3f} of {len(held)}")
+    assert len(held) > 150 and right >= 0.95
