@@ -25,7 +25,9 @@ of 64 * ``LONG`` bits.
    Stars are verified pair by pair. Components of all links are the classes.
 
 So rows grow with points, not with pairs, whatever the size of a group; the work
-within tasks still grows with the square of a family that stars can't join.
+within tasks still grows with the square of a family that stars can't join. Sets
+have names of 64 bits: among n different ones the chance of one false merge is
+under n * n / 2 ** 65.
 
 Cases: a text of fewer words than ``WIDTH`` is one shingle; null texts and those
 without words are one point; repeated rows and null ids are rows of their own;
@@ -382,10 +384,14 @@ def jaccard_classes(docs: DataFrame, id_col: str, text_col: str, work: Workspace
         F.min(id_col).alias("least"), F.min("_text").alias("text"), F.first("_size").alias("size"), F.first("_bands").alias("bands"), F.first("_long").alias("long")
     )
     points = work.save(points, "points")
-    cells = points.select(F.explode("bands").alias("cell"), "size", F.col("fp").alias("point"), "long")
-    heads = cells.groupBy("cell").agg(F.min(F.struct("point", "size", "long")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    heads = work.save(heads.select(F.col("cell").alias("c"), "head.*").toDF("c", "a", "size_a", "long_a"), "heads")
-    cells = work.save(cells.join(heads, F.col("cell") == F.col("c")).drop("c"), "cells")
+    # most cells hold one point: they go before sizes and fingerprints are looked up
+    cells = points.select(F.explode("bands").alias("cell"), F.col("fp").alias("point"))
+    heads = cells.groupBy("cell").agg(F.min("point").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("cell").alias("c"), "a")
+    cells = work.save(cells.join(heads, F.col("cell") == F.col("c")).drop("c"), "shared-cells")
+    release(work.spark)
+    told = points.select(F.col("fp").alias("p"), "size", "long")
+    cells = cells.join(told, F.col("point") == F.col("p")).drop("p")
+    cells = work.save(cells.join(told.toDF("p", "size_a", "long_a"), F.col("a") == F.col("p")).drop("p"), "cells")
     release(work.spark)
     stars = cells.where("point <> a").withColumnsRenamed({"size": "size_b", "long": "long_b"}).where(_may_be_near("_a", "_b"))
     links = _verified(stars.select("a", F.col("point").alias("b")), docs, points, text_col, work)
