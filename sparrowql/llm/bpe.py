@@ -28,14 +28,14 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from sparrowql.llm.shared import slices, unique_name, with_fields
+from sparrowql.llm.shared import slices, trimmed, unique_name, with_fields
 
 #: Rows up to this many bytes go through matrices.
 MATRIX_LIMIT = 1024
 #: Matrix cells of one slice of a bucket, which bounds a task's memory.
 SLICE_CELLS = 2_000_000
 #: Pieces whose ids a task keeps between batches.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 100_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -247,7 +247,7 @@ def bpe(
                 ]
                 yield pa.RecordBatch.from_arrays(columns, [*names, ids_col, decoded_col])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def bpe_digests(
@@ -273,7 +273,7 @@ def bpe_digests(
                 columns = [part.column(id_col), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(trimmed(run), schema)
 
 
 def tokenized(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text") -> DataFrame:
@@ -298,4 +298,4 @@ def tokenized(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "te
                 ]
                 yield pa.RecordBatch.from_arrays(columns, [*names, *added])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from sparrowql.llm.passages import Seeds, Vocabulary, align, fit_distances, gram_hashes, joined, part_of, word_spans, words
-from sparrowql.llm.shared import slices, with_fields
+from sparrowql.llm.shared import slices, trimmed, with_fields
 
 #: Share of an item's words that edits may touch.
 EDITS = 0.2
@@ -219,7 +219,7 @@ def contaminated(
                     columns = [ids, *[pa.array([r[k + 1] for r in rows], t) for k, t in enumerate(kinds)]]
                     yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-        one = docs.select(id_col, text_col).mapInArrow(run, schema)
+        one = docs.select(id_col, text_col).mapInArrow(trimmed(run), schema)
         out = one if out is None else out.union(one)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -234,7 +234,7 @@ def clean(
             for part, _, found in _found(batches, text_col, blocks):
                 yield part.filter(pa.array([not found.get(d) for d in range(part.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(trimmed(run), docs.schema)
     return docs
 
 

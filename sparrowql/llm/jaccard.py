@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparrowql.llm.graph import connected_components, forest
-from sparrowql.llm.shared import Workspace, release, slices, with_fields
+from sparrowql.llm.shared import Workspace, release, slices, trimmed, with_fields
 from sparrowql.llm.simhash import SEED, survivors
 
 WIDTH = 5
@@ -137,7 +137,7 @@ def with_bands(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 columns = [part.column(0), pa.array(names.view(np.int64)), sizes, *made, part.column(2)]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return docs.select(id_col, text_col, F.xxhash64(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(id_col, text_col, F.xxhash64(text_col).alias("_text")).mapInArrow(trimmed(run), schema)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +312,7 @@ def _with_sets(wanted: DataFrame, docs: DataFrame, text_col: str, work: Workspac
     if wanted.count() <= WANTED:
         texts = F.broadcast(texts)
     found = docs.select(F.col(text_col).alias("text")).join(texts, F.xxhash64("text") == F.col("t"), "left_semi")
-    found = found.mapInArrow(_sets, "p long, s array<long>")
+    found = found.mapInArrow(trimmed(_sets), "p long, s array<long>")
     found = found.join(wanted, F.col("p") == F.col("fp"), "left_semi").dropDuplicates(["p"])
     return work.save(found, f"sets-{label}")
 
@@ -350,7 +350,7 @@ def _family_links(cells: DataFrame, docs: DataFrame, points: DataFrame, text_col
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other"))
     dealt = cells.select(key.alias("key"), "size", "point", "part", "long").repartition(F.col("key")).sortWithinPartitions("key", "size")
-    families = connected_components(work.save(dealt.mapInArrow(_families, "a long, b long"), "near"), work, "families")
+    families = connected_components(work.save(dealt.mapInArrow(trimmed(_families), "a long, b long"), "near"), work, "families")
     families = families.select(F.col("node").alias("member"), F.col("component").alias("family"))
     parts = work.save(cells.select("point", "part").distinct(), "open-parts")
     told = points.select("fp", F.col("text").alias("t"), "size")
@@ -374,7 +374,7 @@ def _family_links(cells: DataFrame, docs: DataFrame, points: DataFrame, text_col
     sets = _with_sets(members.select("fp", "t"), docs, text_col, work, "families")
     dealt = dealt.join(sets, F.col("point") == F.col("p")).select("key", "part", F.col("s").alias("set"))
     dealt = dealt.repartition(F.col("key")).sortWithinPartitions("key")
-    return work.save(dealt.mapInArrow(_links, "a long, b long"), "family-links")
+    return work.save(dealt.mapInArrow(trimmed(_links), "a long, b long"), "family-links")
 
 
 def jaccard_classes(docs: DataFrame, id_col: str, text_col: str, work: Workspace) -> tuple[DataFrame, DataFrame]:

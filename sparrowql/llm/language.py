@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparrowql.llm.shared import slices, with_fields
+from sparrowql.llm.shared import slices, trimmed, with_fields
 
 #: Bounds of the training sample.
 DOCS_A_LANGUAGE, PIECE = 800, 500
@@ -338,7 +338,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 columns = [part.column("id"), part.column("held"), pa.array(found, pa.string()), pa.array(score, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return wanted.mapInArrow(run, schema)
+    return wanted.mapInArrow(trimmed(run), schema)
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sparrowql.llm.passages import Seeds, Vocabulary, align, gram_hashes, joined, word_spans, words
-from sparrowql.llm.shared import slices, with_fields
+from sparrowql.llm.shared import slices, trimmed, with_fields
 
 #: Words of a gram at most.
 GRAM = 3
@@ -198,4 +198,4 @@ def license_scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_c
                 columns.append(pa.array([",".join(f"{a}:{b}" for a, b in r[5]) for r in rows], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(trimmed(run), schema)

@@ -41,7 +41,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from sparrowql.llm.shared import slices, with_fields
+from sparrowql.llm.shared import slices, trimmed, with_fields
 
 KINDS = ("assign", "access", "hex", "novel")
 #: The base patterns, and the least length of group 2 or of the match.
@@ -208,7 +208,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 columns = [part.column(id_col), *by_kind[:3], pa.array(digests, pa.string()), pa.array(spans, pa.string()), by_kind[3]]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(trimmed(run), schema)
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", mark: str = "<SECRET>") -> DataFrame:
@@ -231,7 +231,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
                     columns[length_col] = pa.array([n if a == b else len(b) for n, a, b in zip(lengths, old, new, strict=True)], kind)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def stage(spark, docs: DataFrame) -> DataFrame:

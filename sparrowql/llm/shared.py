@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -88,6 +89,26 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def trimmed(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run``, after which a Python worker gives freed memory back to the system.
+
+    Workers wait for their next task with what they have; between stages that adds up.
+    """
+
+    def all_of(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # where the C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return all_of
+
+
 def slices(batch: pa.RecordBatch, text_col: str, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most_bytes`` of text each, and a row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_pylist()

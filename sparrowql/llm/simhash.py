@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparrowql.llm.graph import connected_components, forest
-from sparrowql.llm.shared import Workspace, slices, unique_name, with_fields
+from sparrowql.llm.shared import Workspace, slices, trimmed, unique_name, with_fields
 
 RADIUS = 3
 PIVOTS = 24
@@ -76,7 +76,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 found = np.array([fingerprint(t) for t in part.column(text_col).to_pylist()], np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(found.view(np.int64))], schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(trimmed(run), schema)
 
 
 def linked_pairs(fps: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +185,7 @@ def link_edges(points: DataFrame, work: Workspace) -> DataFrame:
         same = (F.col("way") == F.col("w")) & (F.col("bits") == F.col("s"))
         small = cells.join(hot, same, "left_anti") if n_hot else cells
         dealt = small.select(F.xxhash64("way", "bits").alias("cell"), "fp").repartition(F.col("cell")).sortWithinPartitions("cell", "fp")
-        found = work.save(dealt.mapInArrow(_edges, "a long, b long"), f"edges-{depth}")
+        found = work.save(dealt.mapInArrow(trimmed(_edges), "a long, b long"), f"edges-{depth}")
         edges = found if edges is None else edges.union(found)
         if not n_hot:
             return edges
@@ -248,5 +248,5 @@ def survivors(docs: DataFrame, marked: DataFrame, classes: DataFrame, mark: Call
 
     other, name, least = (unique_name(schema.names, c) for c in ("_other", "_class", "_least"))
     wanted = classes.select(F.col("fp").alias(other), F.col("class").alias(name), F.col("_component").alias(least))
-    nameless = nameless.mapInArrow(run, schema).join(wanted, F.col(fp) == F.col(other)).where(F.col(id_col).eqNullSafe(F.col(least)))
+    nameless = nameless.mapInArrow(trimmed(run), schema).join(wanted, F.col(fp) == F.col(other)).where(F.col(id_col).eqNullSafe(F.col(least)))
     return kept.unionByName(nameless.dropDuplicates([name]).select(*docs.columns))

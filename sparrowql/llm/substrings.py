@@ -55,7 +55,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowql.llm.shared import Workspace, release
+from sparrowql.llm.shared import Workspace, release, trimmed
 
 LENGTH = 50
 #: A perfect difference set: every residue is a difference of two members.
@@ -575,7 +575,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     made = _results(Chunk(np.zeros(1, np.int64), np.array([len(data)]), data, []), np.zeros(len(data), bool), with_text)
                     yield made.set_column(0, "id", pa.array([None], pa.int64()))
 
-        out = out.union(rows.where("id is null").mapInArrow(whole, schema))
+        out = out.union(rows.where("id is null").mapInArrow(trimmed(whole), schema))
     return out.withColumnRenamed("id", id_col)
 
 
@@ -608,7 +608,7 @@ def _removed(chunks: DataFrame, work: Workspace, total: int, schema: str, with_t
 
     def met(sent: DataFrame, answer, parts: int, k: int) -> DataFrame:
         dealt = sent.repartition(max(4, parts), "k").sortWithinPartitions("k", "first", "chunk")
-        found = dealt.mapInArrow(_meet(answer), "chunk long, k long, n int, flags binary")
+        found = dealt.mapInArrow(trimmed(_meet(answer)), "chunk long, k long, n int, flags binary")
         found = found.groupBy(F.col("chunk").alias(f"c{k}")).agg(F.collect_list(F.struct("k", "n", "flags")).alias(f"answers{k}"))
         return work.save(found, f"answers{k}")
 
@@ -619,9 +619,9 @@ def _removed(chunks: DataFrame, work: Workspace, total: int, schema: str, with_t
         return Left(chunk, row["answers1"] or [], bits, most, splitters, sub)
 
     sent = "k long, first long, chunk long, blob binary"
-    one = met(joined(copies).mapInArrow(_sent(hashes), sent), hash_answers, n_ranges // 4, 1)
+    one = met(joined(copies).mapInArrow(trimmed(_sent(hashes)), sent), hash_answers, n_ranges // 4, 1)
     release(spark)
-    two = met(joined(copies, one).mapInArrow(_sent(lambda chunk, row: left(chunk, row).parts()), sent), string_answers, n_tuple_ranges, 2)
+    two = met(joined(copies, one).mapInArrow(trimmed(_sent(lambda chunk, row: left(chunk, row).parts())), sent), string_answers, n_tuple_ranges, 2)
     release(spark)
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -629,7 +629,7 @@ def _removed(chunks: DataFrame, work: Workspace, total: int, schema: str, with_t
             chunk = _loaded(row)
             yield _results(chunk, covered(chunk, left(chunk, row).marked(row["answers2"] or [])), with_text)
 
-    return work.save(joined(copies, one, two).mapInArrow(final, schema), "results")
+    return work.save(joined(copies, one, two).mapInArrow(trimmed(final), schema), "results")
 
 
 #: The query in DuckDB, window by window.
